@@ -36,7 +36,7 @@ PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Bounds the memory of a worker only; what was dropped is encoded anew.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -202,7 +202,7 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = part.column("text").fill_null("").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(model.encode_batch(texts), pa.binary())], ["doc_id", "ids"]

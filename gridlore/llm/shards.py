@@ -78,7 +78,7 @@ def encoded(df: DataFrame, path: str, id_col: str, text_col: str, seq_len: int)
         if len(model.bytes_of) > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = part.column("text").fill_null("").to_pylist()
                 ids = [np.append(np.frombuffer(i, "<u4"), end).astype("<u2").tobytes() for i in model.encode_batch(texts)]
                 yield pa.RecordBatch.from_pydict(
