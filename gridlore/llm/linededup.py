@@ -8,7 +8,9 @@ The edit join never compares all lines.  A line is cut into EDITS + 1 segments;
 EDITS edits turn one line into another, some segment of the shorter occurs in the longer
 near the same place.  Segments are indexed under (length, number, hash); a line probes the
 indexes of its own length and up to EDITS less with the substrings that the multi-match
-bounds allow.  What shares a key is verified by banded bit-parallel edit distance.  A key
+bounds allow.  What shares a key is first compared by counts of code points in 16 classes,
+modulo 4: an edit moves them by 2 at most, so this drops no line that is near.  The rest is
+verified by banded bit-parallel edit distance.  A key
 that holds more than BUCKET_ROWS lines is refined: the matched segment is taken out and the
 remainders are joined in the same way under that key, up to LEVELS times, so a common
 segment costs another scan and not the pairs of all lines that have it.
@@ -34,7 +36,7 @@ from gridlore.llm.graph import connected_components
 
 EDITS = 2
 NEAR_CHARS = 40
-BUCKET_ROWS = 128
+BUCKET_ROWS = 1024
 LEVELS = 3
 REMEMBERED_LINES = 1_000_000
 
@@ -151,8 +153,30 @@ def next_level(line: str, edits: int, least: int, hot: list[np.ndarray]) -> Iter
         ]
 
 
+def profiles(lines: list[str]) -> np.ndarray:
+    """Counts of code points in 16 classes, modulo 4, as 32 bits a line."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = codes_of(lines).astype(np.int64)
+    classes = (codes * 0x9E3779B1 >> 16) & 15
+    counts = np.bincount(np.repeat(np.arange(len(lines)) * 16, length) + classes, minlength=16 * len(lines))
+    return ((counts.reshape(-1, 16) & 3) << (2 * np.arange(16))).sum(axis=1).astype(np.uint32).view(np.int32)
+
+
+CIRCLE = np.array([0, 1, 2, 1], np.uint8)
+LANES = 2 * np.arange(16, dtype=np.uint32)
+
+
+def lanes(profile: np.ndarray) -> np.ndarray:
+    return ((profile.view(np.uint32)[:, None] >> LANES) & np.uint32(3)).astype(np.uint8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most the sum of differences of the counts, which is at most twice the edits."""
+    return CIRCLE[(a - b) & 3].sum(axis=-1)
+
+
 def keys(docs: DataFrame, edits: int, least: int, hot: list[np.ndarray]) -> DataFrame:
-    """(key, member): member is the line's hash with the lowest bit telling the probing side."""
+    """(key, member, profile): member is the line's hash with the lowest bit telling the probing side."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +196,7 @@ def keys(docs: DataFrame, edits: int, least: int, hot: list[np.ndarray]) -> Data
                     seen.clear()
                 if not lines:
                     continue
-                member = np.array(members, np.int64)
+                member, profile = np.array(members, np.int64), profiles(lines)
                 if shared.value:
                     made = [(np.full(len(k), n), k, p) for n, line in enumerate(lines) for k, p in next_level(line, edits, least, shared.value)]
                 else:
@@ -182,34 +206,38 @@ def keys(docs: DataFrame, edits: int, least: int, hot: list[np.ndarray]) -> Data
                         {
                             "key": np.concatenate([k for _, k, _ in made]).view(np.int64),
                             "member": np.concatenate([member[on] | p for on, _, p in made]),
+                            "profile": np.concatenate([profile[on] for on, _, _ in made]),
                         }
                     )
 
-    return docs.select("text").mapInArrow(run, "key long, member long")
+    return docs.select("text").mapInArrow(run, "key long, member long, profile int")
 
 
-def candidates(keyed: DataFrame, most: int | None) -> DataFrame:
+def candidates(keyed: DataFrame, most: int | None, edits: int) -> DataFrame:
     """(hot, a, b): pairs a < b of lines that meet under a key, or (key, null) of crowded keys."""
     dealt = keyed.repartition("key").sortWithinPartitions("key", "member")
 
-    def pairs(key: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, member: np.ndarray, profile: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(member) != 0)])
-        key, member = key[new], member[new]
+        key, member, profile = key[new], member[new], profile[new]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         sizes = np.diff(cuts)
         left, right, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         two = cuts[:-1][sizes == 2]
-        left.append(member[two])
-        right.append(member[two + 1])
+        near = apart(lanes(profile[two]), lanes(profile[two + 1])) <= 2 * edits
+        left.append(member[two[near]])
+        right.append(member[two[near] + 1])
         for k in np.flatnonzero(sizes > 2):
             run = member[cuts[k] : cuts[k + 1]]
             if most and len(run) > most:
                 hot.append(key[cuts[k]])
                 continue
-            probing = run[run & 1 == 1]
-            for x in run[run & 1 == 0]:
-                left.append(np.full(len(probing), x))
-                right.append(probing)
+            lane = lanes(profile[cuts[k] : cuts[k + 1]])
+            probing, indexed = np.flatnonzero(run & 1 == 1), np.flatnonzero(run & 1 == 0)
+            for block in np.array_split(indexed, max(1, len(indexed) * len(probing) >> 20)):
+                x, y = np.nonzero(apart(lane[block][:, None], lane[probing][None]) <= 2 * edits)
+                left.append(run[block[x]])
+                right.append(run[probing[y]])
         a, b = np.concatenate(left), np.concatenate(right)
         meet = ((a ^ b) & 1 == 1) & (a >> 1 != b >> 1)
         a, b = a[meet] & -2, b[meet] & -2
@@ -223,25 +251,26 @@ def candidates(keyed: DataFrame, most: int | None) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_key, held, held_profile = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         passing = None
         for batch in batches:
             key = np.concatenate([held_key, np.asarray(batch.column("key"))])
             member = np.concatenate([held, np.asarray(batch.column("member"))])
+            profile = np.concatenate([held_profile, np.asarray(batch.column("profile"))])
             if passing is not None:
                 n = int(np.searchsorted(key, passing, side="right"))
-                key, member = key[n:], member[n:]
+                key, member, profile = key[n:], member[n:], profile[n:]
             last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
             if last:
-                yield from pairs(key[:last], member[:last])
-            held_key, held = key[last:], member[last:]
-            if most and len(held) > most and len(held := np.unique(held)) > most:
+                yield from pairs(key[:last], member[:last], profile[:last])
+            held, only = np.unique(member[last:], return_index=True)
+            held_key, held_profile = key[last:][only], profile[last:][only]
+            if most and len(held) > most:
                 passing = held_key[0]
                 yield crowded([passing])
-                held_key, held = held_key[:0], held[:0]
-            held_key = held_key[: len(held)]
+                held_key, held, held_profile = held_key[:0], held[:0], held_profile[:0]
         if len(held):
-            yield from pairs(held_key, held)
+            yield from pairs(held_key, held, held_profile)
 
     return dealt.mapInArrow(run, "hot boolean, a long, b long")
 
@@ -336,7 +365,7 @@ def near_links(docs: DataFrame, edits: int = EDITS, least: int = NEAR_CHARS, mos
     found, hot = [], []
     for level in range(LEVELS):
         limit = most if level + 1 < LEVELS else None
-        met = materialise(candidates(keys(docs, edits, least, hot), limit).distinct())
+        met = materialise(candidates(keys(docs, edits, least, hot), limit, edits).distinct())
         found.append(met.where("not hot").select("a", "b"))
         if limit is None or met.where("hot").isEmpty():
             break
