@@ -1,16 +1,16 @@
 """Training-order materialisation: token sequences in fixed-stride binary shards.
 
 Texts are encoded, an end token is added, and the ids are cut into sequences of SEQ_LEN (the
-last one of a document is padded with the end token).  Sequences are counted off by
-(doc_id, text hash, place in the document); a keyed Feistel permutation with cycle walking
-maps that number to a slot of the training order, one to one.  Slots are dealt by range to
-shards of SHARD_SLOTS records; each shard is one file in which slot s is at byte
-(s mod SHARD_SLOTS) * stride.  A reader resumes at any slot by seeking, and reads on.
+last one of a document is padded with the end token).  Sequences are numbered in the order of
+the encoded table, which is written once: input partitions in order, rows in order.  A keyed
+Feistel permutation with cycle walking maps that number to a slot of the training order, one
+to one.  Slots are dealt by range to shards of SHARD_SLOTS records; each shard is one file in
+which slot s is at byte (s mod SHARD_SLOTS) * stride.  A reader resumes at any slot by
+seeking, and reads on.
 
 A shard is written under a temporary name and renamed, so a task that runs again, on another
-machine or twice at once, leaves the same file.  The encoded table is written once to the
-shared folder; the count of sequences before each document is a prefix sum over ranges of
-ids, of which the driver only sees one row a range.
+machine or twice at once, leaves the same file.  The encoded table lies in the shared folder
+until the shards are written; the driver only sees its number of sequences by partition.
 
 Null texts are empty: a document of one sequence that holds the end token.  Null ids are
 sequences of id -1 in records.  Repeated rows have sequences each.  Only the id and text
@@ -22,16 +22,18 @@ SEQ_LEN ids as unsigned 16-bit integers, all little-endian.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.llm.bpe import model_of, share_tokenizer, tokenizer_path
+from gridlore.llm.bpe import share_tokenizer, tokenizer_path
 from gridlore.llm.common import read_table, shared_path, slices
 
 SEQ_LEN = 512
@@ -39,7 +41,8 @@ SHARD_SLOTS = 4096
 KEY = 20240229
 ROUNDS = 6
 HEADER = 16
-RANGES = 256
+#: Fixed value: the pattern that cuts texts before byte pairs are merged, as published with the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def round_keys(key: int, rounds: int = ROUNDS) -> list[int]:
@@ -67,74 +70,74 @@ def slots_of(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_ENCODERS: dict[str, tiktoken.Encoding] = {}
+
+
+def encoder_of(ranks: str) -> tiktoken.Encoding:
+    """One encoder a worker process."""
+    name = hashlib.sha256(ranks.encode()).hexdigest()
+    if name not in _ENCODERS:
+        pairs = (line.split() for line in ranks.splitlines() if line)
+        table = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _ENCODERS[name]
+
+
 def encoded(df: DataFrame, path: str, id_col: str, text_col: str, seq_len: int) -> DataFrame:
-    """(doc_id, text_hash, n_seq, ids): ids as unsigned 16-bit integers, end token included."""
+    """(part, first, doc_id, n_seq, ids): ids as unsigned 16-bit integers, end token included.
+
+    first counts the sequences that the same input partition holds before this document.
+    """
     shared = share_tokenizer(df.sparkSession, path)
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(shared.value)
-        end = max(model.special.values(), default=len(model.bytes_of) - 1)
-        if len(model.bytes_of) > 1 << 16:
+        from pyspark import TaskContext
+
+        encoder = encoder_of(shared.value)
+        end = encoder.max_token_value + 1
+        if end >= 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
+        number, part_id = 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = part.column("text").fill_null("").to_pylist()
-                ids = [np.append(np.frombuffer(i, "<u4"), end).astype("<u2").tobytes() for i in model.encode_batch(texts)]
+                ids = [np.array([*encoder.encode_ordinary(t), end], "<u2").tobytes() for t in texts]
+                n_seq = np.array([-(-len(i) // (2 * seq_len)) for i in ids], np.int64)
+                first = number + np.cumsum(n_seq) - n_seq
+                number += int(n_seq.sum())
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "part": np.full(len(ids), part_id, np.int32),
+                        "first": first,
                         "doc_id": part.column("doc_id"),
-                        "text_hash": np.array(
-                            [int.from_bytes(hashlib.blake2b(i, digest_size=8).digest(), "little", signed=True) for i in ids], np.int64
-                        ),
-                        "n_seq": np.array([-(-len(i) // (2 * seq_len)) for i in ids], np.int32),
+                        "n_seq": n_seq,
                         "ids": pa.array(ids, pa.binary()),
                     }
                 )
 
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, n_seq int, ids binary")
+    return narrow.mapInArrow(run, "part int, first long, doc_id long, n_seq long, ids binary")
 
 
-def numbered(table: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
-    """(doc_id, text_hash, first): the number of the first sequence of each document, and the count of all.
+def offsets_of_parts(table: DataFrame) -> tuple[np.ndarray, int]:
+    """Sequences before each part, and in all; the driver sees one row an input partition."""
+    sizes = table.groupBy("part").agg(F.sum("n_seq").alias("n")).toArrow()
+    part, n = np.asarray(sizes.column("part")), np.asarray(sizes.column("n"))
+    counts = np.zeros(int(part.max()) + 1 if len(part) else 0, np.int64)
+    counts[part] = n
+    return np.cumsum(counts) - counts, int(counts.sum())
 
-    Rows with equal id and text share one line here; copies follow each other by n_seq.
-    """
-    narrow = table.groupBy("doc_id", "text_hash", "n_seq").agg(F.count("*").alias("copies"))
-    bounds = table.agg(
-        F.percentile_approx("doc_id", F.array(*[F.lit((n + 1) / ranges) for n in range(ranges - 1)]), 10_000).alias("b")
-    ).first().b or []
-    edges = sorted(set(bounds))
-    of_range = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    placed = narrow.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(of_range))
-    sizes = placed.groupBy("part").agg(F.sum(F.col("n_seq") * F.col("copies")).alias("n")).orderBy("part").collect()
-    offsets, total = {}, 0
-    for r in sizes:  # one row a range
-        offsets[r.part] = total
-        total += r.n
-    if not total:
-        return placed.select("doc_id", "text_hash", F.lit(0).cast("long").alias("first")), 0
-    start = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    before = Window.partitionBy("part").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.coalesce(F.sum(F.col("n_seq") * F.col("copies")).over(before), F.lit(0))
-    return placed.select("doc_id", "text_hash", (start[F.col("part")] + upto).alias("first")), total
-
-
-def sequences(table: DataFrame, firsts: DataFrame, total: int, seq_len: int, key: int, shard_slots: int) -> DataFrame:
+
+def sequences(table: DataFrame, offsets: np.ndarray, total: int, seq_len: int, key: int, shard_slots: int) -> DataFrame:
     """(shard, slot, record) of every sequence."""
-    by = Window.partitionBy("doc_id", "text_hash").orderBy("n_seq")
-    joined = table.join(
-        firsts.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}),
-        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")),
-    )
-    copies = joined.withColumn("copy", F.row_number().over(by) - 1)
+    shared = table.sparkSession.sparkContext.broadcast(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stride = 2 * seq_len
         for batch in batches:
             for part in slices(batch, "ids", 2 << 20):
-                n_seq = np.asarray(part.column("n_seq")).astype(np.int64)
-                first = np.asarray(part.column("first")) + n_seq * np.asarray(part.column("copy"))
+                n_seq = np.asarray(part.column("n_seq"))
+                first = np.asarray(part.column("first")) + shared.value[np.asarray(part.column("part"))]
                 place = np.arange(n_seq.sum()) - np.repeat(np.cumsum(n_seq) - n_seq, n_seq)
                 slot = slots_of(np.repeat(first, n_seq) + place, total, key)
                 docs = part.column("doc_id").fill_null(-1).to_pylist()
@@ -149,8 +152,7 @@ def sequences(table: DataFrame, firsts: DataFrame, total: int, seq_len: int, key
                     {"shard": slot // shard_slots, "slot": slot, "record": pa.array(records, pa.binary())}
                 )
 
-    columns = copies.select("doc_id", "n_seq", "ids", "first", F.col("copy").cast("long").alias("copy"))
-    return columns.mapInArrow(run, "shard long, slot long, record binary")
+    return table.mapInArrow(run, "shard long, slot long, record binary")
 
 
 def shard_name(shard: int) -> str:
@@ -213,8 +215,8 @@ def materialise_order(
     table_dir = f"{out_dir}/encoded"
     encoded(df, tokenizer, id_col, text_col, seq_len).write.mode("overwrite").option("compression", "zstd").parquet(table_dir)
     table = spark.read.parquet(table_dir)
-    firsts, total = numbered(table)
-    records = sequences(table, firsts, total, seq_len, key, shard_slots)
+    offsets, total = offsets_of_parts(table)
+    records = sequences(table, offsets, total, seq_len, key, shard_slots)
     shards = -(-total // shard_slots)
     manifest_dir = f"{out_dir}/manifest"
     write_files(records, out_dir, shard_slots, HEADER + 2 * seq_len, shards).write.mode("overwrite").parquet(manifest_dir)
@@ -256,7 +258,7 @@ def read_shards(manifest: DataFrame, out_dir: str, seq_len: int = SEQ_LEN, from_
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of documents in training order, read back: one row a sequence."""
     out_dir = shared_path(spark, "training-order")
-    manifest = materialise_order(read_table(spark, sf_dir, "documents"), out_dir, tokenizer_path())
+    manifest = materialise_order(read_table(spark, sf_dir, "documents"), out_dir, tokenizer_path("byte_bpe_50k.tiktoken"))
     read = read_shards(manifest, out_dir)
     return read.select(
         "slot",
