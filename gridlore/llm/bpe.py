@@ -29,13 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridlore.llm.common import read_table, slices
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No pretoken crosses the borders of these units: a run of visible characters with the
-#: space before it, or white space.
-UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Bounds the memory of a worker only; what was dropped is encoded anew.
+#: Pretokens in each of two generations that a worker remembers; what was dropped is encoded anew.
 REMEMBERED = 250_000
 
 
@@ -72,8 +69,8 @@ class BpeModel:
         self.keys = keys[self.key_ranks]
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.units: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where the pair has none or touches a border."""
@@ -139,35 +136,36 @@ class BpeModel:
         flat = ids[live].astype("<u4").tobytes()
         return [flat[4 * counts[i] : 4 * counts[i + 1]] for i in range(len(pretokens))]
 
-    def learn(self, units: set[str]) -> None:
-        """Encode units that are new; the pretokens that are new share one occurrence index."""
-        whole, known = self.units, self.pretokens
-        cut = [(u, PRETOKEN.findall(u)) for u in units]
-        new = sorted({p for _, found in cut for p in found if p not in known})
+    def learn(self, pretokens: set[str]) -> None:
+        """Encode pretokens that are new; they share one occurrence index."""
+        if len(self.recent) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        new = []
+        for p in pretokens.difference(recent):
+            if p in older:
+                recent[p] = older[p]
+            else:
+                new.append(p)
         if new:
-            known.update(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
-        for u, found in cut:
-            whole[u] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
+            new.sort()
+            recent.update(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        for kept in (self.units, self.pretokens):
-            if len(kept) > REMEMBERED:
-                kept.clear()
+        """Ids of each text, as little-endian 32-bit integers."""
         plans: list[list] = []
         seen: set[str] = set()
         for text in texts:
-            pieces = self.cut.split(text) if self.cut else [text]
             plan: list = []
-            for n, piece in enumerate(pieces):
+            for n, piece in enumerate(self.cut.split(text) if self.cut else [text]):
                 if n % 2:
                     plan.append(self.special[piece].to_bytes(4, "little"))
                 elif piece:
-                    units = UNIT.findall(piece)
-                    seen.update(units)
-                    plan.append(units)
+                    plan.append(found := PRETOKEN.findall(piece))
+                    seen.update(found)
             plans.append(plan)
-        self.learn(seen.difference(self.units))
-        get = self.units.__getitem__
+        self.learn(seen)
+        get = self.recent.__getitem__
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in plan]) for plan in plans]
 
     def decode(self, ids: bytes) -> str:
