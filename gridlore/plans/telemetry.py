@@ -240,11 +240,11 @@ def energy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.compare_energy(local_energy(spark, sf_dir), lens.retained(spark, sf_dir), BY_DEVICE)
 
 
-@query(f"""WITH {E}, {ENERGY} SELECT device_id, count(wh) AS days, round(sum(wh), 2) AS wh, round(sum(skipped_s), 2) AS skipped_s
+@query(f"""WITH {E}, {ENERGY} SELECT device_id, count(wh) AS days, round(sum(wh), 3) AS wh, round(sum(skipped_s), 3) AS skipped_s
   FROM en GROUP BY ALL""")
 def energy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_energy(spark, sf_dir).groupBy("device_id").agg(
-        F.count("wh").alias("days"), F.round(F.sum("wh"), 2).alias("wh"), F.round(F.sum("skipped_s"), 2).alias("skipped_s")
+        F.count("wh").alias("days"), F.round(F.sum("wh"), 3).alias("wh"), F.round(F.sum("skipped_s"), 3).alias("skipped_s")
     )
 
 
