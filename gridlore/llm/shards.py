@@ -11,6 +11,8 @@ seeking, and reads on.
 A shard is written under a temporary name and renamed, so a task that runs again, on another
 machine or twice at once, leaves the same file.  The encoded table lies in the shared folder
 until the shards are written; the driver only sees its number of sequences by partition.
+Shards are written in WAVES ranges of slots, one after the other, so that the shuffle never
+holds more than that share of the output, and a stopped run keeps its finished waves.
 
 Null texts are empty: a document of one sequence that holds the end token.  Null ids are
 sequences of id -1 in records.  Repeated rows have sequences each.  Only the id and text
@@ -26,6 +28,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from gridlore.llm.common import read_table, shared_path, slices
 
 SEQ_LEN = 512
 SHARD_SLOTS = 4096
+WAVES = 4
 KEY = 20240229
 ROUNDS = 6
 HEADER = 16
@@ -128,8 +132,10 @@ def offsets_of_parts(table: DataFrame) -> tuple[np.ndarray, int]:
     return np.cumsum(counts) - counts, int(counts.sum())
 
 
-def sequences(table: DataFrame, offsets: np.ndarray, total: int, seq_len: int, key: int, shard_slots: int) -> DataFrame:
-    """(shard, slot, record) of every sequence."""
+def sequences(
+    table: DataFrame, offsets: np.ndarray, total: int, seq_len: int, key: int, shard_slots: int, low: int, high: int
+) -> DataFrame:
+    """(shard, slot, record) of every sequence with a slot from low to below high."""
     shared = table.sparkSession.sparkContext.broadcast(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +146,16 @@ def sequences(table: DataFrame, offsets: np.ndarray, total: int, seq_len: int, k
                 first = np.asarray(part.column("first")) + shared.value[np.asarray(part.column("part"))]
                 place = np.arange(n_seq.sum()) - np.repeat(np.cumsum(n_seq) - n_seq, n_seq)
                 slot = slots_of(np.repeat(first, n_seq) + place, total, key)
+                on = np.flatnonzero((slot >= low) & (slot < high))
+                slot, owner = slot[on], np.repeat(np.arange(len(n_seq)), n_seq)[on].tolist()
                 docs = part.column("doc_id").fill_null(-1).to_pylist()
+                all_ids = part.column("ids").to_pylist()
                 records = []
-                for doc, ids, n in zip(docs, part.column("ids").to_pylist(), n_seq.tolist(), strict=True):
-                    end = ids[-2:]
-                    for k in range(n):
-                        own = ids[k * stride : (k + 1) * stride]
-                        head = doc.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little") + (len(own) // 2).to_bytes(4, "little")
-                        records.append(head + own + end * (seq_len - len(own) // 2))
+                for n, k in zip(owner, place[on].tolist(), strict=True):
+                    own = all_ids[n][k * stride : (k + 1) * stride]
+                    size = len(own) // 2
+                    head = docs[n].to_bytes(8, "little", signed=True) + k.to_bytes(4, "little") + size.to_bytes(4, "little")
+                    records.append(head + own + all_ids[n][-2:] * (seq_len - size))
                 yield pa.RecordBatch.from_pydict(
                     {"shard": slot // shard_slots, "slot": slot, "record": pa.array(records, pa.binary())}
                 )
@@ -159,7 +167,7 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:010d}.bin"
 
 
-def write_files(records: DataFrame, out_dir: str, shard_slots: int, stride: int, shards: int) -> DataFrame:
+def write_files(records: DataFrame, out_dir: str, stride: int, shards: int) -> DataFrame:
     """One file a shard; returns (shard, first_slot, n_slots, n_bytes, sha256)."""
     dealt = records.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
 
@@ -207,6 +215,7 @@ def materialise_order(
     seq_len: int = SEQ_LEN,
     shard_slots: int = SHARD_SLOTS,
     key: int = KEY,
+    waves: int = WAVES,
 ) -> DataFrame:
     """Write all shards under out_dir and return the manifest, a table written beside them."""
     spark = df.sparkSession
@@ -216,12 +225,30 @@ def materialise_order(
     encoded(df, tokenizer, id_col, text_col, seq_len).write.mode("overwrite").option("compression", "zstd").parquet(table_dir)
     table = spark.read.parquet(table_dir)
     offsets, total = offsets_of_parts(table)
-    records = sequences(table, offsets, total, seq_len, key, shard_slots)
     shards = -(-total // shard_slots)
-    manifest_dir = f"{out_dir}/manifest"
-    write_files(records, out_dir, shard_slots, HEADER + 2 * seq_len, shards).write.mode("overwrite").parquet(manifest_dir)
+    waves = max(1, min(waves, shards))
+    parts = []
+    with shuffles_cleaned(spark):
+        for wave in range(waves):
+            first, last = wave * shards // waves, (wave + 1) * shards // waves
+            records = sequences(table, offsets, total, seq_len, key, shard_slots, first * shard_slots, last * shard_slots)
+            written = write_files(records, out_dir, HEADER + 2 * seq_len, last - first)
+            parts.append(f"{out_dir}/manifest-{wave}")
+            written.write.mode("overwrite").parquet(parts[-1])
     store.delete_dir(f"{root}/encoded")
-    return spark.read.parquet(manifest_dir)
+    return spark.read.parquet(*parts)
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within this, a query's shuffle files go when it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def read_shards(manifest: DataFrame, out_dir: str, seq_len: int = SEQ_LEN, from_slot: int = 0) -> DataFrame:
