@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import text, words
 from gridlore.operators import daily, history, site
-from gridlore.plans import fleet as telemetry
+from gridlore.plans import catalog as telemetry
 
 TABLES = "/root/testdata/sf0.001"
 
