@@ -3,12 +3,14 @@
 One pass over the texts gives each document its counts.  Four signals made of them go into
 mergeable quantile sketches: logarithmic histograms whose buckets are grouped and counted
 by language and source, so that merging is adding counts, in any order and with the same
-result.  A signal's fence is the sketch's q75 plus FENCE times the distance from q50 to q75, but at least a slack above q50.  Sources with fewer than MIN_ROWS documents in a language use the merged sketch of the
-language, sparse languages that of the corpus.  Verdicts come from joining documents to the
-fences of their language and source.
+result.  Documents that fail the base rules are not in the sketches.  A signal's fence is the
+sketch's tail quantile plus FENCE times the distance from q50 to it, plus one bucket; nothing
+else is set by hand.  Sources with fewer than MIN_ROWS documents in a language use the merged
+sketch of the language, sparse languages that of the corpus.
+Verdicts come from joining documents to the fences of their language and source.
 
 Null and empty texts have no words and fail the base rules.  Null languages and sources are
-groups of their own.  Every row, repeated or not, counts and is judged.  Only the named
+groups of their own.  Repeated rows count and are judged each.  Only the named
 columns are read.
 """
 
@@ -18,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridlore.llm.common import arrow_map, materialise, read_table, row_hash
 
 MIN_WORDS = 50
 MIN_ROWS = 200
+TAIL = 0.9
 FENCE = 4.0
 #: Buckets of a sketch grow by this factor: quantiles are within 1 % of the true value.
 GAMMA = 1.02
-#: Signal, and distance above the median that is never odd.
-SIGNALS = (("symbol_share", 0.02), ("dup_line_share", 0.50), ("repeat_share", 0.35), ("upper_share", 0.30))
+#: Smaller shares count as zero.
+LEAST = 1e-4
+SIGNALS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share")
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -120,16 +124,16 @@ def with_signals(counts: DataFrame) -> DataFrame:
 
 def sketches(signals: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(by..., signal, bucket, n): log histograms.  Bucket -1 holds values of zero."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s, _ in SIGNALS]))
-    long = signals.select(*by, pairs.alias("p")).select(*by, "p.signal", "p.value")
-    bucket = F.when(F.col("value") < 1e-4, -1).otherwise(F.floor(F.log(F.col("value") / 1e-4) / F.log(F.lit(GAMMA))))
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in SIGNALS]))
+    long = signals.where("not base_failed").select(*by, pairs.alias("p")).select(*by, "p.signal", "p.value")
+    bucket = F.when(F.col("value") < LEAST, -1).otherwise(F.floor(F.log(F.col("value") / LEAST) / F.log(F.lit(GAMMA))))
     return long.groupBy(*by, "signal", bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
-    """(by..., signal, fence) of groups with at least that many documents."""
+def quantiles(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by..., signal, total, q50, tail) of each group."""
     group = Window.partitionBy(*by, "signal")
-    value = F.when(F.col("bucket") < 0, 0.0).otherwise(1e-4 * F.pow(F.lit(GAMMA), F.col("bucket") + 0.5))
+    value = F.when(F.col("bucket") < 0, 0.0).otherwise(LEAST * F.pow(F.lit(GAMMA), F.col("bucket") + 0.5))
     ranked = sketch.select(
         *by,
         "signal",
@@ -138,47 +142,53 @@ def fences(sketch: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
         F.sum("n").over(group.orderBy("bucket")).alias("upto"),
     )
     quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value")))
-    slack = F.create_map(*[x for s, slack in SIGNALS for x in (F.lit(s), F.lit(slack))])
+    return ranked.groupBy(*by, "signal").agg(
+        F.max("total").alias("total"), quantile(0.5).alias("q50"), quantile(TAIL).alias("tail")
+    )
+
+
+def fence(q50: Column, tail: Column) -> Column:
+    return F.greatest(tail + FENCE * (tail - q50), F.lit(LEAST)) * GAMMA
+
+
+def drawn(own: str, merged: dict[str, Column], least: int) -> dict[str, Column]:
+    """Quantiles and fence of a group with enough documents, or those of the merged sketch."""
+    enough = F.coalesce(F.col(f"{own}.total"), F.lit(0)) >= least
+    made = {q: F.when(enough, F.col(f"{own}.{q}")).otherwise(merged[q]) for q in ("q50", "tail")}
+    return made | {"fence": fence(made["q50"], made["tail"])}
+
+
+def fences(own: DataFrame, groups: DataFrame, lang_col: str, source_col: str, weight: int) -> DataFrame:
+    """(fence_lang, fence_source, a fence for each signal) of the groups, from the sketches of sources."""
+    add = lambda by: own.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))  # noqa: E731  sketches merge
+    same = lambda other, cols: [F.col(f"g.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in (*cols, "signal")]
+    total = quantiles(add(()), ()).select("signal", F.col("q50").alias("all_q50"), F.col("tail").alias("all_tail"))
+    overall = {"q50": F.col("all_q50"), "tail": F.col("all_tail"), "fence": fence(F.col("all_q50"), F.col("all_tail"))}
+    by_lang = drawn("l", overall, weight)
+    by_source = drawn("s", by_lang, weight)
+    each = groups.crossJoin(F.broadcast(total))  # four rows
     return (
-        ranked.groupBy(*by, "signal")
-        .agg(F.max("total").alias("total"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
-        .where(F.col("total") >= least)
-        .select(
-            *by,
-            "signal",
-            F.greatest(F.col("q75") + FENCE * (F.col("q75") - F.col("q50")), F.col("q50") + slack[F.col("signal")]).alias("fence"),
-        )
+        each.alias("g")
+        .join(quantiles(add((lang_col,)), (lang_col,)).alias("l"), same("l", (lang_col,)), "left")
+        .join(quantiles(own, (lang_col, source_col)).alias("s"), same("s", (lang_col, source_col)), "left")
+        .groupBy(F.col(f"g.{lang_col}").alias("fence_lang"), F.col(f"g.{source_col}").alias("fence_source"))
+        .pivot("g.signal", list(SIGNALS))
+        .agg(F.first(by_source["fence"]))
+        .select("fence_lang", "fence_source", *[F.col(n).alias(f"{n}_fence") for n in SIGNALS])
     )
 
 
 def judge(signals: DataFrame, lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
     """Adds kept: neither the base rules nor a fence of the document's group rejects it."""
-    names = [s for s, _ in SIGNALS]
-    own = sketches(signals, (lang_col, source_col))
-    own = materialise(own)
-    add = lambda by: own.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))  # noqa: E731  sketches merge
-    widest = lambda by, least: fences(add(by), by, least).groupBy(*by).pivot("signal", names).agg(F.first("fence"))
-    by_source = widest((lang_col, source_col), min_rows)
-    by_lang = widest((lang_col,), min_rows)
-    total = own.groupBy(F.lit("all").alias("g"), "signal", "bucket").agg(F.sum("n").alias("n"))
-    overall = {r.signal: r.fence for r in fences(total, ("g",), 1).collect()}  # one row a signal
-    groups = own.select(lang_col, source_col).distinct().alias("g")
-    same = lambda other, cols: [F.col(f"g.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in cols]
-    chosen = (
-        groups.join(by_source.alias("s"), same("s", (lang_col, source_col)), "left")
-        .join(by_lang.alias("l"), same("l", (lang_col,)), "left")
-        .select(
-            F.col(f"g.{lang_col}").alias("fence_lang"),
-            F.col(f"g.{source_col}").alias("fence_source"),
-            *[F.coalesce(F.col(f"s.{n}"), F.col(f"l.{n}"), F.lit(overall.get(n)).cast("double")).alias(f"{n}_fence") for n in names],
-        )
-    )
+    own = materialise(sketches(signals, (lang_col, source_col)))
+    groups = signals.select(lang_col, source_col).distinct()
+    chosen = fences(own, groups, lang_col, source_col, min_rows)
     joined = signals.join(
         chosen,
         signals[lang_col].eqNullSafe(chosen["fence_lang"]) & signals[source_col].eqNullSafe(chosen["fence_source"]),
         "left",
     )
-    odd = [F.col(n) > F.col(f"{n}_fence") for n in names]
+    odd = [F.col(n) > F.col(f"{n}_fence") for n in SIGNALS]
     rejected = F.lit(False)
     for o in odd:
         rejected = rejected | F.coalesce(o, F.lit(False))

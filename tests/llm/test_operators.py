@@ -181,6 +181,20 @@ def test_odd_documents_fail_their_group(spark):
     assert {r.doc_id for r in rows if not r.kept} == {60}
 
 
+def signals(spark, rows):
+    """Signals of rows of (source, name of a signal, its value, how many)."""
+    rows = [(s, n, float(v)) for s, n, v, times in rows for _ in range(times)]
+    made = spark.createDataFrame(rows, "source string, name string, value double")
+    shares = [f"if(name = '{n}', value, 0d) AS {n}" for n in quality.SIGNALS]
+    return made.selectExpr("'en' AS lang", "source", "value", *shares, "false AS base_failed")
+
+
+def test_a_group_judges_by_its_own_distribution(spark):
+    rows = [("calm", "upper_share", n / 100_000, 5) for n in range(1000)] + [("loud", "upper_share", n / 5000, 5) for n in range(1000)]
+    told = quality.judge(signals(spark, [*rows, ("calm", "upper_share", 0.11111, 1), ("loud", "upper_share", 0.11111, 1)]))
+    assert {r.source: r.kept for r in told.where("value = 0.11111").collect()} == {"calm": False, "loud": True}
+
+
 # op6
 
 
