@@ -5,8 +5,10 @@ mergeable quantile sketches: logarithmic histograms whose buckets are grouped an
 by language and source, so that merging is adding counts, in any order and with the same
 result.  Documents that fail the base rules are not in the sketches.  A signal's fence is the
 sketch's tail quantile plus FENCE times the distance from q50 to it, plus one bucket; nothing
-else is set by hand.  Sources with fewer than MIN_ROWS documents in a language use the merged
-sketch of the language, sparse languages that of the corpus.
+else is set by hand.  The quantiles of a source are drawn toward those of its language and
+those toward the corpus, with the weight of MIN_ROWS documents, so fences move smoothly as a
+group grows.  No fence is above that of the merged sketch it is part of, so a group with much
+junk cannot excuse itself; junk in over a tenth of the whole corpus widens the last fence.
 Verdicts come from joining documents to the fences of their language and source.
 
 Null and empty texts have no words and fail the base rules.  Null languages and sources are
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridlore.llm.common import arrow_map, materialise, read_table, row_hash
 
 MIN_WORDS = 50
+#: Documents that the merged quantiles weigh as much as, beside those of a group.
 MIN_ROWS = 200
 TAIL = 0.9
 FENCE = 4.0
@@ -151,11 +154,13 @@ def fence(q50: Column, tail: Column) -> Column:
     return F.greatest(tail + FENCE * (tail - q50), F.lit(LEAST)) * GAMMA
 
 
-def drawn(own: str, merged: dict[str, Column], least: int) -> dict[str, Column]:
-    """Quantiles and fence of a group with enough documents, or those of the merged sketch."""
-    enough = F.coalesce(F.col(f"{own}.total"), F.lit(0)) >= least
-    made = {q: F.when(enough, F.col(f"{own}.{q}")).otherwise(merged[q]) for q in ("q50", "tail")}
-    return made | {"fence": fence(made["q50"], made["tail"])}
+def drawn(own: str, merged: dict[str, Column], weight: int) -> dict[str, Column]:
+    """Quantiles and fence of a group, drawn toward those of the merged sketch; a group may have no sketch."""
+    n = F.coalesce(F.col(f"{own}.total"), F.lit(0))
+    made = {
+        q: (n * F.coalesce(F.col(f"{own}.{q}"), F.lit(0.0)) + weight * merged[q]) / (n + weight) for q in ("q50", "tail")
+    }
+    return made | {"fence": F.least(fence(made["q50"], made["tail"]), merged["fence"])}
 
 
 def fences(own: DataFrame, groups: DataFrame, lang_col: str, source_col: str, weight: int) -> DataFrame:

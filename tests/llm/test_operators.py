@@ -195,6 +195,14 @@ def test_a_group_judges_by_its_own_distribution(spark):
     assert {r.source: r.kept for r in told.where("value = 0.11111").collect()} == {"calm": False, "loud": True}
 
 
+@pytest.mark.parametrize("size", [190, 199, 200, 400])
+def test_a_source_of_junk_cannot_excuse_itself(spark, size):
+    junk = size * 3 // 10
+    rows = [("clean", "symbol_share", 0, 4000), ("spam", "symbol_share", 0, size - junk), ("spam", "symbol_share", 0.36, junk)]
+    told = quality.judge(signals(spark, rows)).groupBy("value", "kept").count().collect()
+    assert {(r.value, r.kept): r["count"] for r in told} == {(0.0, True): 4000 + size - junk, (0.36, False): junk}
+
+
 # op6
 
 
