@@ -5,11 +5,11 @@ backslash stands before ``\``, ``#`` and ``<``, and in roles also before ``:``,
 can hold an unescaped mark and unescaping gives every text back.
 
 Every assistant turn is an example of its own: all turns before it are its context, and only
-its reply is trainable.  All examples of a conversation are prefixes of one formatted
-string, so that string is stored once, as one segment a turn with running offsets, and an
-example is (conversation, stop, loss_start, loss_stop).  The output grows with the input
-and not with the square of a conversation's turns, and no conversation is held in memory.
-``example_texts`` writes the examples out where a reader wants plain strings.
+its reply is trainable.  ``format_conversations`` stores one segment a turn with running
+offsets; ``expanded`` writes each example out, one row with its whole context.  The output is
+the sum of all prefixes, so it grows with the square of a conversation's turns; a task holds
+one conversation's text, as its last example has to fit in a row anyway.  ``read_back`` takes
+its digests from the expanded examples.
 
 Turns are ordered by turn (nulls first), then role, then text, so repeated turns are kept
 side by side.  Null texts and roles are empty.  A null conversation id is a conversation.
@@ -25,10 +25,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gridlore.llm.common import read_table
+from gridlore.llm.common import read_table, slices
 
 HEAD, MIDDLE, TAIL = "### ", ": ", " </turn>\n"
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*) </turn>\n", re.DOTALL)
+TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*?) </turn>\n", re.DOTALL)
+BATCH_CHARS = 1 << 22
 TRICKY = "\\### Assistant: </turn> ok"
 
 
@@ -93,19 +94,66 @@ def example_texts(formatted: DataFrame) -> DataFrame:
     )
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) parsed from the output.
+def expanded(formatted: DataFrame) -> DataFrame:
+    """(conv_id, turn_no, text, loss_start, loss_stop): the examples, conversations side by side and in order.
 
-    Conversations are read as streams of segments: only one segment is held at a time.
+    Turns after the last example come in a row of their own: all of the conversation, without a loss span.
     """
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    names = ["conv_id", "turn_no", "text", "loss_start", "loss_stop"]
+    schema = pa.schema([(n, pa.string() if n == "text" else pa.int64()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        conv, turn_no, text, written, size = None, 0, "", 0, 0
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["turn_no"] == 1:
+                    if written < len(text):
+                        rows.append((conv, turn_no, text, None, None))
+                    text, written = "", 0
+                conv, turn_no = r["conv_id"], r["turn_no"]
+                text += r["segment"]
+                if r["loss_start"] is not None:
+                    rows.append((conv, turn_no, text, r["loss_start"], r["loss_stop"]))
+                    written = len(text)
+                    size += written
+                if size > BATCH_CHARS:
+                    yield made()
+                    size = 0
+            if rows:
+                yield made()
+                size = 0
+        if written < len(text):
+            rows.append((conv, turn_no, text, None, None))
+            yield made()
+
+    return dealt.mapInArrow(run, "conv_id long, turn_no long, text string, loss_start long, loss_stop long")
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) parsed from the expanded examples."""
+    return digests(expanded(formatted))
+
+
+def digests(examples: DataFrame) -> DataFrame:
+    """Digests of each conversation; examples are as ``expanded`` deals them.
+
+    Each example has to begin with the one before, so what it adds is parsed and all of it is read.
+    """
     schema = (
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
-        state = None
+        state, before = None, ""
         rows: list[tuple] = []
 
         def close() -> None:
@@ -113,20 +161,26 @@ def read_back(formatted: DataFrame) -> DataFrame:
             rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if state is None or state[0] != r["conv_id"]:
-                    if state is not None:
-                        close()
-                    state = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                segment = r["segment"]
-                role, text = map(unescape, TURN.fullmatch(segment).groups())
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if r["loss_start"] is not None:
-                    reply = unescape(segment[r["loss_start"] - r["start"] : r["loss_stop"] - r["start"]])
-                    state[3] += len(reply)
-                    state[4].update(reply.encode("utf-8", "surrogatepass"))
-                state[5] = r["stop"]
+            for part in slices(batch, "text"):
+                for r in part.to_pylist():
+                    if state is None or state[0] != r["conv_id"]:
+                        if state is not None:
+                            close()
+                        state, before = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0], ""
+                    text, at = r["text"], len(before)
+                    if not text.startswith(before):
+                        raise ValueError("an example does not hold all turns before it")
+                    while at < len(text):
+                        turn = TURN.match(text, at)
+                        role, told = map(unescape, turn.groups())
+                        at = turn.end()
+                        state[1] += 1
+                        state[2].update(f"{role}\n{told}\n".encode("utf-8", "surrogatepass"))
+                    if r["loss_start"] is not None:
+                        reply = unescape(text[r["loss_start"] : r["loss_stop"]])
+                        state[3] += len(reply)
+                        state[4].update(reply.encode("utf-8", "surrogatepass"))
+                    state[5], before = len(text), text
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
                 rows.clear()
@@ -134,11 +188,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             close()
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return dealt.mapInArrow(run, schema)
+    return examples.mapInArrow(run, schema)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all formatted conversations and of one with control strings in its texts."""
+    """Digests of the examples of all conversations and of one with control strings in its texts."""
     own = spark.createDataFrame(
         [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string"
     )

@@ -153,6 +153,17 @@ def test_chat_round_trip(spark):
     assert [chat.unescape(r.text[r.loss_start : r.loss_stop]) for r in texts] == ["a#\\b", ""]
 
 
+def test_query_goes_through_every_example(spark, monkeypatch):
+    rows = [(c, n, "assistant" if n % 2 else "user", f"{chat.TRICKY} {n}\n") for c in (1, 2, None) for n in range(7)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    seen = []
+    monkeypatch.setattr(chat, "digests", lambda examples, own=chat.digests: seen.append(examples) or own(examples))
+    assert chat.read_back(made).count() == 3
+    got = [tuple(r) for r in seen[0].where("loss_start is not null").collect()]
+    assert len(got) == 9 and sorted(got, key=str) == sorted((tuple(r) for r in chat.example_texts(made).collect()), key=str)
+    assert seen[0].where("loss_start is null").count() == 3
+
+
 # op5
 
 
