@@ -158,6 +158,18 @@ def scope_union_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {E} SELECT controller_id % 5 AS system_id, controller_id, device_id AS source_device_id, count(*) AS n,
+  max(observed_at) AS last_at FROM e GROUP BY ALL""")
+def scope_union_history_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All devices that the controllers of each site have ever had."""
+    rows = lens.samples(spark, sf_dir)
+    members = rows.select("device_id", "controller_id").distinct()
+    found = history.in_scope(rows, members).withColumn("system_id", F.expr("controller_id % 5"))
+    return found.groupBy("system_id", "controller_id", F.col("device_id").alias("source_device_id")).agg(
+        F.count("*").alias("n"), F.max("observed_at").alias("last_at")
+    )
+
+
 @query(f"WITH {E} SELECT device_id, CAST(observed_at AS DATE) AS day, count(*) AS live FROM e GROUP BY ALL")
 def daily_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.live_days(lens.samples(spark, sf_dir), BY_DEVICE)

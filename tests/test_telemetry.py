@@ -24,6 +24,13 @@ def duck():
     return con
 
 
+def test_scopes_of_all_sites(spark):
+    rows = telemetry.QUERIES["scope_union_history_by_system"](spark, TABLES).collect()
+    one = telemetry.QUERIES["scope_union_history"](spark, TABLES).collect()
+    assert {r.system_id for r in rows} == set(range(5))
+    assert sorted(tuple(r)[1:] for r in rows if r.system_id == 2) == sorted(map(tuple, one))
+
+
 @pytest.mark.parametrize("name", sorted(telemetry.SQL))
 def test_same_rows_as_sql(spark, duck, name):
     made = telemetry.QUERIES[name](spark, TABLES)
