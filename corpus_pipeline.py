@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.llm.bpe import decode, encode, tokenizer_path
-from gridlore.llm.common import read_table, rows_in, shared_path
+from gridlore.llm.common import materialise, read_table, row_hash, rows_in, shared_path
 from gridlore.llm.decontaminate import contamination
 from gridlore.llm.linededup import dedup_lines
 from gridlore.llm.quality import quality_rules as judge_quality
@@ -35,8 +35,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    return rows_in(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each near-duplicate group: the smallest by id (nulls last), text hash and the other columns."""
+    copies = near_duplicates(docs).groupBy("doc_id", "row_hash").agg(F.min("root").alias("root"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "n")).alias("first")
+    winners = materialise(copies.groupBy("root").agg(first).select("first.*"))
+    repeated = winners.where("n > 1")
+    if repeated.isEmpty():
+        return rows_in(docs, winners)
+    same = rows_in(docs, repeated)
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    one = same.groupBy(F.col("doc_id").cast("long").alias("_id"), row_hash(F.col("text")).alias("_hash")).agg(row).select("row.*")
+    return rows_in(docs, winners.where("n = 1")).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

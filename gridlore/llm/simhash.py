@@ -247,20 +247,20 @@ def links(nodes: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
 
 
 def components(prints: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, row_hash, fp, component_id) of (doc_id, row_hash, fp) rows."""
+    """(doc_id, row_hash, fp, component_id, root) of (doc_id, row_hash, fp) rows; root tells components without ids apart."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(nodes.select("fp"), most))
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(smallest, "root").select("fp", "component_id")
+    linked = linked.join(smallest, "root").select("fp", "component_id", "root")
     classes = nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id")
+        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
     )
-    return prints.join(classes, "fp", "left").select("doc_id", "row_hash", "fp", "component_id")
+    return prints.join(classes, "fp", "left").select("doc_id", "row_hash", "fp", "component_id", "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_hash, fp, component_id) of every row of df."""
+    """(doc_id, row_hash, fp, component_id, root) of every row of df."""
     return components(materialise(fingerprints(df, id_col, text_col)))
 
 

@@ -17,3 +17,16 @@ def test_first_stage_drops_what_the_rules_reject(spark):
     assert kept.columns == docs.columns
     words = {r.doc_id: len(r.text.split()) for r in docs.collect()}
     assert all(words[r.doc_id] >= 50 for r in kept.select("doc_id").collect())
+
+
+def test_one_row_of_a_group_stays(spark):
+    long = " ".join(f"word{n}" for n in range(400))
+    rows = [(1, long, "b"), (1, long, "a"), (1, long + " word400", "c"), (2, long, "d"), (None, "no id " * 9, "e"), (None, "no id " * 9, "e")]
+    rows += [(None, "another text without an id", "f"), (3, "alone in its group here", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.simhash_dedup(spark, docs, TABLES)
+    groups = {(r.doc_id, r.row_hash): r.root for r in corpus_pipeline.near_duplicates(docs).collect()}
+    assert kept.columns == docs.columns and kept.count() == len(set(groups.values()))
+    got = sorted((str(r.doc_id), r.source) for r in kept.collect())
+    assert len(got) == len({s for _, s in got}) and ("3", "g") in got and ("None", "e") in got and ("None", "f") in got
+    assert ("1", "b") not in got and ("2", "d") not in got
