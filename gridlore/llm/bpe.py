@@ -32,8 +32,12 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Pretokens in each of two generations that a worker remembers; what was dropped is encoded anew.
-REMEMBERED = 250_000
+#: Bytes of pretokens and ids, with what Python adds to them, that each of two generations of a worker holds.
+#: What was dropped is encoded anew.
+REMEMBERED_BYTES = 16 << 20
+ENTRY_BYTES = 220
+#: Text bytes that are encoded together; the arrays of the pair index are some 30 times as large at most.
+ENCODE_BYTES = 2 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -74,7 +78,7 @@ class BpeModel:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where the pair has none or touches a border."""
-        keys = (left << 32) | right
+        keys = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.key_ranks[at], -1)
 
@@ -83,12 +87,13 @@ class BpeModel:
         lengths = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
         size = int(bounds[-1])
-        symbol = np.full(size + 1, -1, np.int64)  # -1 stands after each pretoken: no pair crosses it
+        index_type = np.int32 if size < 1 << 31 else np.int64
+        symbol = np.full(size + 1, -1, np.int32)  # -1 stands after each pretoken: no pair crosses it
         live = np.ones(size, bool)
         live[bounds[1:] - 1] = False
         symbol[:size][live] = self.first[np.frombuffer(b"".join(pretokens), np.uint8)]
-        after = np.arange(1, size + 2)
-        before = np.arange(-1, size)
+        after = np.arange(1, size + 2, dtype=index_type)
+        before = np.arange(-1, size, dtype=index_type)
         places: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -138,7 +143,7 @@ class BpeModel:
 
     def learn(self, pretokens: set[str]) -> None:
         """Encode pretokens that are new; they share one occurrence index."""
-        if len(self.recent) > REMEMBERED:
+        if ENTRY_BYTES * len(self.recent) > REMEMBERED_BYTES:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
         new = []
@@ -200,7 +205,7 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 texts = part.column("text").fill_null("").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(model.encode_batch(texts), pa.binary())], ["doc_id", "ids"]

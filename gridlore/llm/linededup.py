@@ -38,7 +38,8 @@ EDITS = 2
 NEAR_CHARS = 40
 BUCKET_ROWS = 1024
 LEVELS = 3
-REMEMBERED_LINES = 1_000_000
+#: Hashes of lines that a worker remembers, to send a repeated line once; what was dropped is sent anew.
+REMEMBERED_LINES = 100_000
 
 
 def segment(length: int | np.ndarray, n: int, edits: int):
