@@ -1,43 +1,69 @@
 """Corpus-wide line dedup with a segment-partition edit join.
 
-Lines with a word are duplicates when they are equal, or when both have at least NEAR_CHARS
-code points and differ by at most EDITS edits.  Of each class (what such links connect) the
-occurrence with the smallest (doc_id, line number) stays; the other lines go.
-
-The edit join never compares all lines.  A line is cut into EDITS + 1 segments; if at most
-EDITS edits turn one line into another, some segment of the shorter occurs in the longer
-near the same place.  Segments are indexed under (length, number, hash); a line probes the
-indexes of its own length and up to EDITS less with the substrings that the multi-match
-bounds allow.  What shares a key is first compared by counts of code points in 16 classes,
-modulo 4: an edit moves them by 2 at most, so this drops no line that is near.  The rest is
-verified by banded bit-parallel edit distance.  A key
-that holds more than BUCKET_ROWS lines is refined: the matched segment is taken out and the
-remainders are joined in the same way under that key, up to LEVELS times, so a common
-segment costs another scan and not the pairs of all lines that have it.
-
-Lines travel as 128-bit hashes; only texts of candidate lines and the documents themselves
-are shuffled.  Null texts stay null.  Blank lines stay.  Rows that share an id and a text
-are one document: all such rows keep the same lines.  Null ids sort first.  Very long lines
-are hashed whole.  All columns of the input are kept; helper columns cannot clash, as rows
-are joined through columns of their own names.
+Lines with a word are duplicates when they are equal, or when their words differ by few edits:
+a word put in, taken out or replaced is one edit.  How many are few grows with the length
+(``Limits``): none under 8 words, one under 40, then one for each 20 words of the shorter line,
+four at most.  Of each class (what such links connect) the occurrence with the smallest
+(doc_id, line number) stays; the other lines go.
+
+The edit join never compares all lines.  A line that may have t edits is cut into t + 1
+segments of words; if at most t edits turn one line into another, some segment of the shorter
+occurs in the longer near the same place.  Segments are indexed under (length, number, hash);
+a line probes the indexes of its own length and of lengths up to t less with the substrings
+that the multi-match bounds allow.  What shares a key is first compared by counts of words in
+16 classes, modulo 4: an edit moves them by 2 at most, so this drops no line that is near.  The
+rest is verified by banded bit-parallel edit distance.
+
+A key of up to PAIRED_ROWS lines yields its pairs.  Lines of a key of up to GROUP_ROWS are a
+group and travel with their words (as hashes).  Each is first compared with PIVOTS lines of its
+group; what these links connect is labelled, and then only lines of a group that are not yet
+connected are compared, in a band of the edit matrix, until nothing is left to connect: the
+same classes, without all pairs.  A key with more lines is refined: the matched segment is
+taken out and the remainders are joined in the same way under that key, up to LEVELS times, so
+a common segment costs another scan and not the pairs of all lines that have it.  What is as
+crowded after that shares most of its text; it is dealt out as pairs of blocks of lines, each
+pair of blocks a group of its own, so no task holds more than two blocks.
+
+Lines travel as 128-bit hashes; only texts of candidate lines, words of those in groups and
+the documents themselves are shuffled.  Null texts stay null.  Blank lines stay.  Rows
+that share an id and a text are one document: all such rows keep the same lines.  Null ids sort
+first.  Very long lines are hashed whole.  All columns of the input are kept; helper columns
+cannot clash, as rows are joined through columns of their own names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.llm.common import BASE, arrow_map, bitmap_of, in_bitmap, materialise, mix, read_table, slices
+from gridlore.llm.common import BASE, arrow_map, bitmap_of, in_bitmap, materialise, mix, read_table, slices, span_hashes, text_bytes, word_spans
 from gridlore.llm.graph import connected_components
 
-EDITS = 2
-NEAR_CHARS = 40
-BUCKET_ROWS = 1024
+
+@dataclass(frozen=True)
+class Limits:
+    """Word edits between near lines: one for each ``words_an_edit`` words of the shorter line, from one to ``most``."""
+
+    least: int = 8
+    words_an_edit: int = 20
+    most: int = 4
+
+    def of(self, words):
+        """Edits of lines with so many words; none under ``least``."""
+        return np.where(np.asarray(words) < self.least, 0, np.clip(np.asarray(words) // self.words_an_edit, 1, self.most))
+
+
+LIMITS = Limits()
+PAIRED_ROWS = 64
+GROUP_ROWS = 2048
+PIVOTS = 4
 LEVELS = 3
+PAIR, GROUP, CROWD = range(3)
 #: Hashes of lines that a worker remembers, to send a repeated line once; what was dropped is sent anew.
 REMEMBERED_LINES = 100_000
 
@@ -66,6 +92,24 @@ def has_word(line: str) -> bool:
     return bool(line.strip(" \t\n\x0b\x0c\r"))
 
 
+SEEN = np.ones(256, bool)
+SEEN[[0x20, *range(0x09, 0x0E)]] = False
+
+
+class LineWords:
+    """Hashes of the words of some lines, end to end."""
+
+    def __init__(self, lines: list[str]):
+        data, offsets = text_bytes(pa.array(lines, pa.large_string()))
+        starts, ends, rows = word_spans(data, offsets, SEEN)
+        self.words = span_hashes(data, starts, ends)
+        self.length = np.bincount(rows, minlength=len(lines))
+        self.start = np.cumsum(self.length) - self.length
+
+    def of(self, n: int) -> np.ndarray:
+        return self.words[self.start[n] : self.start[n] + self.length[n]]
+
+
 # the two sides of the join, as keys
 
 
@@ -88,12 +132,12 @@ POWERS = Powers()
 
 
 class Rolling:
-    """Hashes of any span of a sequence of code points."""
+    """Hashes of any span of a sequence of word hashes."""
 
-    def __init__(self, codes: np.ndarray):
-        POWERS.grow(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * POWERS.up[: len(codes)], out=self.sums[1:])
+    def __init__(self, words: np.ndarray):
+        POWERS.grow(len(words) + 1)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum((words + np.uint64(1)) * POWERS.up[: len(words)], out=self.sums[1:])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * POWERS.down[start]
@@ -103,63 +147,93 @@ def key_of(prefix, length, n: int, piece: np.ndarray) -> np.ndarray:
     return mix(mix(piece + np.uint64(n)) + np.asarray(length).astype(np.uint64) * BASE + np.asarray(prefix).astype(np.uint64))
 
 
-def codes_of(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def first_level(lines: list[str], edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(line numbers, keys, probing) of all lines, which have ``least`` code points or more."""
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(length) - length
-    rolling = Rolling(codes_of(lines))
-    every = np.arange(len(lines))
-    for n in range(edits + 1):
-        a, b = segment(length, n, edits)
-        yield every, key_of(0, length, n, rolling.span(start + a, start + b)), False
-        for gap in range(edits + 1):
-            a, b = segment(length - gap, n, edits)
-            for shift in shifts(gap, n, edits):
-                on = np.flatnonzero((length - gap >= least) & (a + shift >= 0) & (b + shift <= length))
-                at = start[on] + shift
-                yield on, key_of(0, (length - gap)[on], n, rolling.span(at + a[on], at + b[on])), True
-
-
-def next_level(line: str, edits: int, least: int, hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, bool]]:
-    """(keys, probing) of a line after each hot key on the way has taken its segment out."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    views = [(codes, np.uint64(0), None)]
-    for depth in range(len(hot) + 1):
-        made = []
-        for rest, prefix, side in views:
-            rolling, length = Rolling(rest), len(rest)
-            for probing in (False, True) if side is None else (side,):
-                for n in range(edits + 1):
-                    for gap in range(edits + 1) if probing else (0,):
-                        if depth == 0 and length - gap < least:
-                            continue
-                        a, b = segment(length - gap, n, edits)
-                        for shift in shifts(gap, n, edits) if probing else (0,):
-                            s, e = a + shift, b + shift
-                            if s >= 0 and e <= length and length >= gap:
-                                key = key_of(prefix, [length - gap], n, rolling.span(np.array([s]), np.array([e])))
-                                made.append((rest, key, probing, s, e))
-        if depth == len(hot):
-            for _, key, probing, _, _ in made:
-                yield key, probing
-            return
-        views = [
-            (np.concatenate([rest[:s], rest[e:]]), key[0], probing)
-            for rest, key, probing, s, e in made
-            if in_bitmap(hot[depth], key)[0]
-        ]
-
-
-def profiles(lines: list[str]) -> np.ndarray:
-    """Counts of code points in 16 classes, modulo 4, as 32 bits a line."""
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = codes_of(lines).astype(np.int64)
-    classes = (codes * 0x9E3779B1 >> 16) & 15
-    counts = np.bincount(np.repeat(np.arange(len(lines)) * 16, length) + classes, minlength=16 * len(lines))
+class Views:
+    """What is left of lines on their way through hot keys; at first, whole lines.
+
+    A view that was indexed under a key meets views of its own length there, one that probed
+    with a line ``gap`` longer meets views that are shorter by that.  ``edits`` are those of the
+    whole line.
+    """
+
+    WHOLE, INDEXED, PROBED = range(3)
+
+    def __init__(self, words, length, line, prefix=None, side=None, edits=None, gap=None):
+        blank = np.zeros(len(length), np.int64)
+        self.words, self.length, self.line = words, length, line
+        self.start = np.cumsum(length) - length
+        self.prefix = blank.astype(np.uint64) if prefix is None else prefix
+        self.side, self.edits, self.gap = (blank if x is None else x for x in (side, edits, gap))
+        self.rolling = Rolling(words)
+
+    def keys(self, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray, int, int]]:
+        """(views, keys, probing, start, end, edits, gap) of all segments and probes.
+
+        A whole line probes nothing of its own length in its own place: both sides are indexed there.
+        """
+        whole = self.side == self.WHOLE
+        for t in range(1, limits.most + 1):
+            own = np.flatnonzero(np.where(whole, limits.of(self.length) == t, (self.side == self.INDEXED) & (self.edits == t)))
+            for n in range(t + 1):
+                yield from self.made(own, 0, t, n, 0, False)
+            for gap in range(t + 1):
+                fits = (self.length >= gap) & np.where(whole, limits.of(self.length - gap) == t, (self.edits == t) & (self.gap == gap))
+                longer = np.flatnonzero(fits)
+                for n in range(t + 1):
+                    for shift in shifts(gap, n, t):
+                        in_place = gap == shift == 0
+                        yield from self.made(longer[self.side[longer] == self.PROBED] if in_place else longer, gap, t, n, shift, True)
+
+    def made(self, on: np.ndarray, gap: int, t: int, n: int, shift: int, probing: bool):
+        short = self.length[on] - gap
+        a, b = segment(short, n, t)
+        inside = (a + shift >= 0) & (b + shift <= self.length[on])
+        on, short, a, b = on[inside], short[inside], a[inside] + shift, b[inside] + shift
+        if len(on):
+            piece = self.rolling.span(self.start[on] + a, self.start[on] + b)
+            yield on, key_of(self.prefix[on], short, n, piece), probing, a, b, t, gap
+
+    def behind(self, hot: np.ndarray, limits: Limits) -> Views:
+        """Views without the segment of each key in the bitmap."""
+        parts = []
+        for on, key, probing, a, b, t, gap in self.keys(limits):
+            hit = np.flatnonzero(in_bitmap(hot, key))
+            side = np.full(len(hit), self.PROBED if probing else self.INDEXED)
+            parts.append((on[hit], key[hit], side, a[hit], b[hit], np.full(len(hit), t), np.full(len(hit), gap)))
+        if not parts:
+            return Views(self.words[:0], self.length[:0], self.line[:0])
+        on, key, side, a, b, t, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
+        length = self.length[on] - (b - a)
+        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        source = place + np.repeat(self.start[on], length) + np.where(place >= np.repeat(a, length), np.repeat(b - a, length), 0)
+        return Views(self.words[source], length, self.line[on], key, side, t, gap)
+
+
+#: Words of lines that are refined together.
+TOGETHER = 1 << 16
+
+
+def refined(words: LineWords, limits: Limits, hot: list[np.ndarray]) -> Iterator[Views]:
+    """The lines' views behind all hot keys, some lines at a time."""
+    whole = Views(words.words, words.length, np.arange(len(words.length)))
+    if not hot:
+        yield whole
+        return
+    hits = [on[in_bitmap(hot[0], key)] for on, key, *_ in whole.keys(limits)]
+    lines = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(words.length[lines]) // TOGETHER)) + 1
+    for some in np.split(lines, cuts):
+        if len(some):
+            views = Views(np.concatenate([words.of(n) for n in some]), words.length[some], some)
+            for bitmap in hot:
+                views = views.behind(bitmap, limits)
+            yield views
+
+
+def profiles(words: LineWords) -> np.ndarray:
+    """Counts of words in 16 classes, modulo 4, as 32 bits a line."""
+    lines = len(words.length)
+    classes = (words.words >> np.uint64(60)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(lines) * 16, words.length) + classes, minlength=16 * lines)
     return ((counts.reshape(-1, 16) & 3) << (2 * np.arange(16))).sum(axis=1).astype(np.uint32).view(np.int32)
 
 
@@ -176,32 +250,36 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return CIRCLE[(a - b) & 3].sum(axis=-1)
 
 
-def keys(docs: DataFrame, edits: int, least: int, hot: list[np.ndarray]) -> DataFrame:
+def new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Lines with a word that this task has not met of late, with their hashes; the lowest bit is free."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            lines, hashes = [], []
+            for text in part.column("text").to_pylist():
+                for line in lines_of(text):
+                    if has_word(line):
+                        h = line_hash(line.encode("utf-8", "surrogatepass"))[0] & -2
+                        if h not in seen:
+                            seen.add(h)
+                            lines.append(line)
+                            hashes.append(h)
+            if len(seen) > REMEMBERED_LINES:
+                seen.clear()
+            if lines:
+                yield lines, np.array(hashes, np.int64)
+
+
+def keys(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
     """(key, member, profile): member is the line's hash with the lowest bit telling the probing side."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines, members = [], []
-                for text in part.column("text").to_pylist():
-                    for line in lines_of(text):
-                        if len(line) >= least and has_word(line):
-                            h = line_hash(line.encode("utf-8", "surrogatepass"))[0]
-                            if h not in seen:
-                                seen.add(h)
-                                lines.append(line)
-                                members.append(h & -2)
-                if len(seen) > REMEMBERED_LINES:
-                    seen.clear()
-                if not lines:
-                    continue
-                member, profile = np.array(members, np.int64), profiles(lines)
-                if shared.value:
-                    made = [(np.full(len(k), n), k, p) for n, line in enumerate(lines) for k, p in next_level(line, edits, least, shared.value)]
-                else:
-                    made = list(first_level(lines, edits, least))
+        for lines, member in new_lines(batches):
+            words = LineWords(lines)
+            profile = profiles(words)
+            for views in refined(words, limits, shared.value):
+                made = [(views.line[on], key, probing) for on, key, probing, *_ in views.keys(limits)]
                 if made:
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -214,8 +292,8 @@ def keys(docs: DataFrame, edits: int, least: int, hot: list[np.ndarray]) -> Data
     return docs.select("text").mapInArrow(run, "key long, member long, profile int")
 
 
-def candidates(keyed: DataFrame, most: int | None, edits: int) -> DataFrame:
-    """(hot, a, b): pairs a < b of lines that meet under a key, or (key, null) of crowded keys."""
+def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFrame:
+    """(kind, a, b): pairs a < b of lines that meet under a key, or (key, null) of keys of groups and crowds."""
     dealt = keyed.repartition("key").sortWithinPartitions("key", "member")
 
     def pairs(key: np.ndarray, member: np.ndarray, profile: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -223,33 +301,28 @@ def candidates(keyed: DataFrame, most: int | None, edits: int) -> DataFrame:
         key, member, profile = key[new], member[new], profile[new]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         sizes = np.diff(cuts)
-        left, right, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         two = cuts[:-1][sizes == 2]
-        near = apart(lanes(profile[two]), lanes(profile[two + 1])) <= 2 * edits
-        left.append(member[two[near]])
-        right.append(member[two[near] + 1])
+        left, right = [member[two]], [member[two + 1]]
+        near = [apart(lanes(profile[two]), lanes(profile[two + 1])) <= 2 * edits]
         for k in np.flatnonzero(sizes > 2):
-            run = member[cuts[k] : cuts[k + 1]]
-            if most and len(run) > most:
-                hot.append(key[cuts[k]])
+            if sizes[k] > paired:
                 continue
+            run = member[cuts[k] : cuts[k + 1]]
             lane = lanes(profile[cuts[k] : cuts[k + 1]])
-            probing, indexed = np.flatnonzero(run & 1 == 1), np.flatnonzero(run & 1 == 0)
-            for block in np.array_split(indexed, max(1, len(indexed) * len(probing) >> 20)):
-                x, y = np.nonzero(apart(lane[block][:, None], lane[probing][None]) <= 2 * edits)
-                left.append(run[block[x]])
-                right.append(run[probing[y]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        meet = ((a ^ b) & 1 == 1) & (a >> 1 != b >> 1)
+            x, y = np.triu_indices(len(run), 1)
+            left.append(run[x])
+            right.append(run[y])
+            near.append(apart(lane[x], lane[y]) <= 2 * edits)
+        a, b, close = (np.concatenate(x) for x in (left, right, near))
+        meet = close & (a & b & 1 == 0) & (a >> 1 != b >> 1)  # of two that probe neither is indexed
         a, b = a[meet] & -2, b[meet] & -2
-        yield pa.RecordBatch.from_pydict({"hot": np.zeros(len(a), bool), "a": np.minimum(a, b), "b": np.maximum(a, b)})
-        if hot:
-            yield crowded(hot)
+        kinds = np.full(len(a), PAIR, np.int32)
+        yield pa.RecordBatch.from_pydict({"kind": kinds, "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        large = np.flatnonzero(sizes > paired)
+        yield named(key[cuts[large]], np.where(sizes[large] > most, CROWD, GROUP))
 
-    def crowded(hot: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"hot": np.ones(len(hot), bool), "a": np.array(hot, np.int64), "b": pa.nulls(len(hot), pa.int64())}
-        )
+    def named(key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"kind": kind.astype(np.int32), "a": key, "b": pa.nulls(len(key), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held, held_profile = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -266,21 +339,160 @@ def candidates(keyed: DataFrame, most: int | None, edits: int) -> DataFrame:
                 yield from pairs(key[:last], member[:last], profile[:last])
             held, only = np.unique(member[last:], return_index=True)
             held_key, held_profile = key[last:][only], profile[last:][only]
-            if most and len(held) > most:
+            if len(held) > most:
                 passing = held_key[0]
-                yield crowded([passing])
+                yield named(held_key[:1], np.array([CROWD]))
                 held_key, held, held_profile = held_key[:0], held[:0], held_profile[:0]
         if len(held):
             yield from pairs(held_key, held, held_profile)
 
-    return dealt.mapInArrow(run, "hot boolean, a long, b long")
+    return dealt.mapInArrow(run, "kind int, a long, b long")
+
+
+def group_rows(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
+    """(key, member, words) of the lines with a key in the last bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, member in new_lines(batches):
+            words = LineWords(lines)
+            for views in refined(words, limits, shared.value[:-1]):
+                for on, key, *_ in views.keys(limits):
+                    hit = np.flatnonzero(in_bitmap(shared.value[-1], key))
+                    if len(hit):
+                        line = views.line[on[hit]]
+                        own = pa.array([words.of(n).tobytes() for n in line], pa.binary())
+                        yield pa.RecordBatch.from_pydict({"key": key[hit].view(np.int64), "member": member[line], "words": own})
+
+    rows = docs.select("text").mapInArrow(run, "key long, member long, words binary")
+    return materialise(rows.groupBy("key", "member").agg(F.min("words").alias("words")))
+
+
+def star_links(rows: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b): links of each line to PIVOTS lines of its key at most."""
+    deal = F.pmod(F.xxhash64("member"), F.lit(PIVOTS))
+    least = rows.groupBy("key", deal.alias("nth")).agg(F.min(F.struct("member", "words")).alias("least")).drop("nth")
+    both = rows.join(least, "key").where("member <> least.member")
+    both = both.select("member", "words", F.col("least.member").alias("b"), F.col("least.words").alias("b_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "words"):
+                one, other = (
+                    [np.frombuffer(w, np.uint64) for w in part.column(c).to_pylist()] for c in ("words", "b_words")
+                )
+                on = pa.array(few_edits(one, other, limits))
+                a, b = (np.asarray(part.column(c).filter(on)) for c in ("member", "b"))
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def cross_links(rows: DataFrame, roots: DataFrame, limits: Limits, most: int) -> DataFrame:
+    """(a, b): links that connect what all links within the keys connect, beside those known by their roots."""
+    labels = roots.select(F.col("node").alias("member"), "root")
+    rooted = rows.join(labels, "member", "left").select("key", "member", "words", F.coalesce("root", "member").alias("root"))
+    sizes = rooted.groupBy("key").agg(
+        F.ceil(F.count("*") / most).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (
+        rooted.join(sizes.where("low <> high"), "key")
+        .withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(other))
+        .where("own <> other or blocks = 1")
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "member", "words", "root")
+        .repartition("key", "x", "y")
+        .sortWithinPartitions("key", "x", "y", "member")
+    )
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", "member", "words", "root")), strict=True):
+                if r[:3] != now:
+                    if held:
+                        yield connect(held, limits)
+                    now, held = r[:3], []
+                held.append(r[3:])
+        if held:
+            yield connect(held, limits)
+
+    return dealt.mapInArrow(links, "a long, b long")
+
+
+FAR = 60
+
+
+def padded(lines: list[np.ndarray], lead: int, width: int) -> np.ndarray:
+    out = np.zeros((len(lines), lead + width), np.uint64)
+    for row, line in zip(out, lines, strict=True):
+        row[lead : lead + len(line)] = line
+    return out
+
+
+def few_edits(one: list[np.ndarray], other: list[np.ndarray], limits: Limits) -> np.ndarray:
+    """Whether one[n] and other[n] are near, for all n, in a band of each edit matrix."""
+    size, length = (np.array([len(w) for w in side], np.int64) for side in (one, other))
+    allowed = limits.of(np.minimum(size, length))
+    out = np.zeros(len(one), bool)
+    todo = np.flatnonzero(np.abs(size - length) <= allowed)
+    if not len(todo):
+        return out
+    size, length, edits = size[todo], length[todo], limits.most
+    longest = int(length.max())
+    band = padded([one[n] for n in todo], edits, max(int(size.max()), longest) + edits)
+    table = padded([other[n] for n in todo], 0, longest).T.copy()
+    steps = np.arange(2 * edits + 1, dtype=np.int8)
+    row = steps - edits
+    cost = np.tile(np.where(row >= 0, row, FAR).astype(np.int8), (len(todo), 1))
+    last = np.full(len(todo), FAR, np.int64)
+    for j in range(1, longest + 1):
+        turned = cost + (band[:, j - 1 : j + 2 * edits] != table[j - 1][:, None])
+        turned[:, :-1] = np.minimum(turned[:, :-1], cost[:, 1:] + 1)
+        if j <= edits:
+            turned[:, edits - j], turned[:, : edits - j] = j, FAR
+        cost = np.minimum(np.minimum.accumulate(turned - steps, axis=1) + steps, FAR).astype(np.int8)
+        done = np.flatnonzero(length == j)
+        if len(done):
+            last[done] = cost[done, size[done] - j + edits]
+    out[todo] = last <= allowed[todo]
+    return out
+
+
+def connect(held: list[tuple[int, bytes, int]], limits: Limits) -> pa.RecordBatch:
+    """Links among these lines (member, words, root) that join different roots."""
+    member = np.array([m for m, _, _ in held], np.int64)
+    words = [np.frombuffer(w, np.uint64) for _, w, _ in held]
+    _, root = np.unique([r for _, _, r in held], return_inverse=True)
+    length = np.array(list(map(len, words)), np.int64)
+    classes = np.concatenate([n * 128 + (w >> np.uint64(57)).astype(np.int64) for n, w in enumerate(words)])
+    counts = np.minimum(np.bincount(classes, minlength=128 * len(words)).reshape(-1, 128), 100).astype(np.int8)
+    order = np.argsort(np.bincount(root)[root], kind="stable")  # lines of small classes first
+    left, right = [], []
+    for place, x in enumerate(order):
+        rest = order[place + 1 :]
+        rest = rest[root[rest] != root[x]]
+        edits = limits.of(np.minimum(length[x], length[rest]))
+        on = np.abs(length[rest] - length[x]) <= edits
+        rest, edits = rest[on], edits[on]
+        rest = rest[np.abs(counts[rest] - counts[x]).sum(axis=1) <= 2 * edits]  # an edit moves the counts by 2 at most
+        if not len(rest):
+            continue
+        found = rest[few_edits([words[x]] * len(rest), [words[y] for y in rest], limits)]
+        _, first = np.unique(root[found], return_index=True)
+        left += [member[x]] * len(first)
+        right += member[found[first]].tolist()
+        root[np.isin(root, root[found])] = root[x]
+    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 # verification
 
 
-def within(a: str, b: str, edits: int) -> bool:
-    """Whether at most ``edits`` edits turn a into b, by a band of bits along the diagonal."""
+def within(a: Sequence, b: Sequence, edits: int) -> bool:
+    """Whether at most ``edits`` edits of elements turn a into b, by a band of bits along the diagonal."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > edits:
@@ -293,7 +505,7 @@ def within(a: str, b: str, edits: int) -> bool:
         tail += 1
     a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
     gap = distance = len(a) - len(b)
-    where: dict[str, int] = {}
+    where: dict = {}
     for n, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << n
     width = 2 * edits + 1
@@ -317,67 +529,67 @@ def within(a: str, b: str, edits: int) -> bool:
     return distance <= edits
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, text) of the lines whose hash is in ``wanted``, a frame of longs ``line``."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found, hashes = [], []
-                for text in part.column("text").to_pylist():
-                    for line in lines_of(text):
-                        if len(line) >= least and has_word(line):
-                            h = line_hash(line.encode("utf-8", "surrogatepass"))[0] & -2
-                            if h not in seen:
-                                seen.add(h)
-                                found.append(line)
-                                hashes.append(h)
-                if len(seen) > REMEMBERED_LINES:
-                    seen.clear()
-                line = np.array(hashes, np.int64)
-                on = in_bitmap(shared.value, line)
-                yield pa.RecordBatch.from_pydict(
-                    {"line": line[on], "text": pa.array([found[i] for i in np.flatnonzero(on)], pa.string())}
-                )
+        for lines, line in new_lines(batches):
+            on = in_bitmap(shared.value, line)
+            yield pa.RecordBatch.from_pydict(
+                {"line": line[on], "text": pa.array([lines[i] for i in np.flatnonzero(on)], pa.string())}
+            )
 
     made = docs.select("text").mapInArrow(run, "line long, text string")
     return made.groupBy("line").agg(F.min("text").alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """(a, b) of the pairs within the edits."""
+def near(a: str, b: str, limits: Limits) -> bool:
+    x, y = (t.encode("utf-8", "surrogatepass").split() for t in (a, b))
+    return within(x, y, int(limits.of(min(len(x), len(y)))))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b) of the pairs within the edits of the shorter line."""
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
-            on = pa.array([within(x, y, edits) for x, y in zip(a, b, strict=True)], pa.bool_())
+            on = pa.array([near(x, y, limits) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(on)
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, edits: int = EDITS, least: int = NEAR_CHARS, most: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): hashes of the different lines of ``text`` that are within the edits."""
-    found, hot = [], []
-    for level in range(LEVELS):
-        limit = most if level + 1 < LEVELS else None
-        met = materialise(candidates(keys(docs, edits, least, hot), limit, edits).distinct())
-        found.append(met.where("not hot").select("a", "b"))
-        if limit is None or met.where("hot").isEmpty():
+def near_links(docs: DataFrame, limits: Limits = LIMITS, paired: int = PAIRED_ROWS, most: int = GROUP_ROWS, levels: int = LEVELS) -> DataFrame:
+    """(a, b): hashes of different lines of ``text`` that are near.
+
+    All such pairs, but for those that only meet in keys of more than ``paired`` lines: these
+    come as forests that connect the same lines.
+    """
+    pairs, rows, hot = None, None, []
+    for level in range(levels):
+        met = materialise(candidates(keys(docs, limits, hot), paired, most, limits.most).distinct())
+        found = met.where(f"kind = {PAIR}").select("a", "b")
+        pairs = found if pairs is None else pairs.union(found).distinct()
+        crowds = met.where(f"kind = {CROWD}")
+        last = level + 1 == levels
+        groups = met.where(f"kind <> {PAIR}") if last else met.where(f"kind = {GROUP}")
+        if not groups.isEmpty():
+            more = group_rows(docs, limits, [*hot, bitmap_of(groups, "a")])
+            rows = more if rows is None else rows.union(more)
+        if last or crowds.isEmpty():
             break
-        hot.append(bitmap_of(met.where("hot"), "a"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    if len(found) > 1:
-        pairs = pairs.distinct()
+        hot.append(bitmap_of(crowds, "a"))
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
-    return materialise(verified(pairs, texts_of(docs, ends, least), edits))
+    links = verified(pairs, texts_of(docs, ends), limits)
+    if rows is None:
+        return materialise(links)
+    links = materialise(links.union(star_links(rows, limits)).distinct())
+    return materialise(links.union(cross_links(rows, connected_components(links), limits, most)).distinct())
 
 
 # classes and removal
@@ -402,14 +614,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc", "text"), run, "doc long, line_no int, h1 long, h2 long", "text")
 
 
-def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = NEAR_CHARS, most: int = BUCKET_ROWS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(doc, line_no, h1, first_doc, near): lines that are not the first of their class."""
     spots = occurrences(docs)
     place = F.struct("doc", "line_no")
     lines = materialise(
         spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     )
-    roots = connected_components(near_links(docs, edits, least, most))
+    roots = connected_components(near_links(docs, limits))
     classed = lines.withColumn("line", F.expr("h1 & -2L")).join(roots, F.col("line") == F.col("node"), "left")
     firsts = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("class_first"))
     repeated = (
@@ -429,9 +641,7 @@ def dedup_lines(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    edits: int = EDITS,
-    least: int = NEAR_CHARS,
-    most: int = BUCKET_ROWS,
+    limits: Limits = LIMITS,
 ) -> DataFrame:
     """df with duplicate lines taken out of its text, and a column line_dedup.
 
@@ -441,7 +651,7 @@ def dedup_lines(
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC))
     docs = df.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
     drops = (
-        duplicate_lines(docs, edits, least, most)
+        duplicate_lines(docs, limits)
         .distinct()
         .groupBy("doc")
         .agg(

@@ -1,5 +1,6 @@
 """Operators of the corpus subpackage against brute force, round trips and edge cases."""
 
+import functools
 import hashlib
 import random
 import re
@@ -112,20 +113,61 @@ def test_banded_distance():
             assert linededup.within(a, b, e) == (edits(a, b) <= e)
 
 
-@pytest.mark.parametrize("most", [1024, 8])
-def test_edit_join_loses_no_link(spark, most):
+def word_lines(count):
     random.seed(4)
-    base = ["".join(random.choices("abc é", k=14)) for _ in range(6)]
+    base = [[random.choice("abcdefgh") + random.choice("xyz") for _ in range(n)] for n in (8, 9, 21, 43, 44, 61, 85)]
     lines = []
-    for _ in range(150):
-        s = list(random.choice(base))
-        for _ in range(random.randint(0, 3)):
-            s[random.randrange(len(s))] = random.choice(["", "a", "dd"])
-        lines.append("".join(s))
-    table = spark.createDataFrame([(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(30)], "doc long, text string")
-    ids = {x: linededup.line_hash(x.encode())[0] & -2 for x in set(lines) if len(x) >= 10 and x.strip()}
-    told = {tuple(sorted((ids[a], ids[b]))) for a in ids for b in ids if a < b and edits(a, b) <= 2}
-    assert {(r.a, r.b) for r in linededup.near_links(table, 2, 10, most).collect()} == told
+    for _ in range(count):
+        words = list(random.choice(base))
+        for _ in range(random.randint(0, 5)):
+            at = random.randrange(len(words))
+            words[at : at + 1] = random.choice([[], ["new"], [words[at], "more"], ["tail"]])
+        lines.append(random.choice([" ", "  "]).join(words))
+    return lines
+
+
+def classes_of(links):
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups = {}
+    for x in root:
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+@functools.cache
+def told_links():
+    lines = word_lines(120)
+    limits = linededup.LIMITS
+    ids = {x: (linededup.line_hash(x.encode())[0] & -2, x.split()) for x in set(lines)}
+    told = set()
+    for i, a in ids.values():
+        for j, b in ids.values():
+            short = min(len(a), len(b))
+            if i < j and short >= 8 and abs(len(a) - len(b)) <= 4 and edits(a, b) <= limits.of(short):
+                told.add((i, j))
+    return lines, told
+
+
+@pytest.mark.parametrize("paired,most,levels", [(10_000, 10_000, 1), (6, 10_000, 1), (6, 12, 1), (6, 12, 3)])
+def test_edit_join_loses_no_link(spark, paired, most, levels):
+    lines, told = told_links()
+    table = spark.createDataFrame([(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(24)], "doc long, text string")
+    got = {(r.a, r.b) for r in linededup.near_links(table, linededup.LIMITS, paired, most, levels).collect()}
+    if paired > len(lines):
+        assert got == told
+    else:
+        assert got <= told and classes_of(got) == classes_of(told)
+
+
+def test_near_lines_grow_with_the_length():
+    words = [f"w{n}" for n in range(100)]
+    change = lambda n, size: " ".join(["x"] * n + words[n:size])
+    for size, most in ((7, 0), (8, 1), (39, 1), (40, 2), (60, 3), (80, 4), (100, 4)):
+        assert linededup.near(change(0, size), change(most, size), linededup.LIMITS)
+        assert not linededup.near(change(0, size), change(most + 1, size), linededup.LIMITS)
 
 
 def test_line_dedup_keeps_the_first(spark, empty):
