@@ -15,10 +15,10 @@ that the multi-match bounds allow.  What shares a key is first compared by count
 rest is verified by banded bit-parallel edit distance.
 
 A key of up to PAIRED_ROWS lines yields its pairs.  Lines of a key of up to GROUP_ROWS are a
-group and travel with their words (as hashes).  Each is first compared with PIVOTS lines of its
-group; what these links connect is labelled, and then only lines of a group that are not yet
-connected are compared, in a band of the edit matrix, until nothing is left to connect: the
-same classes, without all pairs.  A key with more lines is refined: the matched segment is
+group.  PIVOTS lines of a group are paired with all of it;
+what these links connect is labelled, and then only lines of a group that are not yet connected
+are compared, in a band of the edit matrix, until nothing is left to connect: the same classes,
+without all pairs.  A key with more lines is refined: the matched segment is
 taken out and the remainders are joined in the same way under that key, up to LEVELS times, so
 a common segment costs another scan and not the pairs of all lines that have it.  What is as
 crowded after that shares most of its text; it is dealt out as pairs of blocks of lines, each
@@ -304,18 +304,23 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
         two = cuts[:-1][sizes == 2]
         left, right = [member[two]], [member[two + 1]]
         near = [apart(lanes(profile[two]), lanes(profile[two + 1])) <= 2 * edits]
-        for k in np.flatnonzero(sizes > 2):
-            if sizes[k] > paired:
-                continue
+        pivots: list[np.ndarray] = []
+        for k in np.flatnonzero((sizes > 2) & (sizes <= most)):
             run = member[cuts[k] : cuts[k + 1]]
             lane = lanes(profile[cuts[k] : cuts[k + 1]])
+            if len(run) > paired:
+                x, y = np.repeat(np.arange(PIVOTS), len(run)), np.tile(np.arange(len(run)), PIVOTS)
+                on = apart(lane[x], lane[y]) <= 2 * edits
+                pivots.append(np.stack([run[x[on]] & -2, run[y[on]] & -2]))
+                continue
             x, y = np.triu_indices(len(run), 1)
             left.append(run[x])
             right.append(run[y])
             near.append(apart(lane[x], lane[y]) <= 2 * edits)
         a, b, close = (np.concatenate(x) for x in (left, right, near))
         meet = close & (a & b & 1 == 0) & (a >> 1 != b >> 1)  # of two that probe neither is indexed
-        a, b = a[meet] & -2, b[meet] & -2
+        a, b = (np.concatenate(x) for x in zip((a[meet] & -2, b[meet] & -2), *pivots, strict=True))
+        a, b = a[a != b], b[a != b]
         kinds = np.full(len(a), PAIR, np.int32)
         yield pa.RecordBatch.from_pydict({"kind": kinds, "a": np.minimum(a, b), "b": np.maximum(a, b)})
         large = np.flatnonzero(sizes > paired)
@@ -350,54 +355,44 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
 
 
 def group_rows(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
-    """(key, member, words) of the lines with a key in the last bitmap."""
+    """(key, member) of the lines with a key in the last bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, member in new_lines(batches):
-            words = LineWords(lines)
-            for views in refined(words, limits, shared.value[:-1]):
+            for views in refined(LineWords(lines), limits, shared.value[:-1]):
                 for on, key, *_ in views.keys(limits):
                     hit = np.flatnonzero(in_bitmap(shared.value[-1], key))
-                    if len(hit):
-                        line = views.line[on[hit]]
-                        own = pa.array([words.of(n).tobytes() for n in line], pa.binary())
-                        yield pa.RecordBatch.from_pydict({"key": key[hit].view(np.int64), "member": member[line], "words": own})
+                    yield pa.RecordBatch.from_pydict({"key": key[hit].view(np.int64), "member": member[views.line[on[hit]]]})
 
-    rows = docs.select("text").mapInArrow(run, "key long, member long, words binary")
-    return materialise(rows.groupBy("key", "member").agg(F.min("words").alias("words")))
+    return docs.select("text").mapInArrow(run, "key long, member long").distinct()
 
 
-def star_links(rows: DataFrame, limits: Limits) -> DataFrame:
-    """(a, b): links of each line to PIVOTS lines of its key at most."""
-    deal = F.pmod(F.xxhash64("member"), F.lit(PIVOTS))
-    least = rows.groupBy("key", deal.alias("nth")).agg(F.min(F.struct("member", "words")).alias("least")).drop("nth")
-    both = rows.join(least, "key").where("member <> least.member")
-    both = both.select("member", "words", F.col("least.member").alias("b"), F.col("least.words").alias("b_words"))
+def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(member, words) of the lines in ``wanted``, words as 32-bit hashes; what they link is verified by the texts."""
+    texts = texts_of(docs, wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "words"):
-                one, other = (
-                    [np.frombuffer(w, np.uint64) for w in part.column(c).to_pylist()] for c in ("words", "b_words")
-                )
-                on = pa.array(few_edits(one, other, limits))
-                a, b = (np.asarray(part.column(c).filter(on)) for c in ("member", "b"))
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def run(part: pa.RecordBatch) -> dict:
+        words = LineWords(part.column("text").to_pylist())
+        short = (words.words >> np.uint64(32)).astype(np.uint32)
+        own = [short[a : a + n].tobytes() for a, n in zip(words.start, words.length, strict=True)]
+        return {"member": part.column("line"), "words": pa.array(own, pa.binary())}
 
-    return both.mapInArrow(run, "a long, b long")
+    return arrow_map(texts, run, "member long, words binary", "text")
 
 
-def cross_links(rows: DataFrame, roots: DataFrame, limits: Limits, most: int) -> DataFrame:
-    """(a, b): links that connect what all links within the keys connect, beside those known by their roots."""
+def cross_pairs(docs: DataFrame, rows: DataFrame, roots: DataFrame, limits: Limits, most: int) -> DataFrame:
+    """(a, b): pairs that connect what all links within the keys connect, beside those known by their roots."""
     labels = roots.select(F.col("node").alias("member"), "root")
-    rooted = rows.join(labels, "member", "left").select("key", "member", "words", F.coalesce("root", "member").alias("root"))
+    rooted = materialise(rows.join(labels, "member", "left").select("key", "member", F.coalesce("root", "member").alias("root")))
     sizes = rooted.groupBy("key").agg(
         F.ceil(F.count("*") / most).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")
     )
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mixed = materialise(rooted.join(sizes.where("low <> high").drop("low", "high"), "key"))
+    words = words_of(docs, mixed.select(F.col("member").alias("line")).distinct())
     dealt = (
-        rooted.join(sizes.where("low <> high"), "key")
+        mixed.join(words, "member")
         .withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(other))
         .where("own <> other or blocks = 1")
@@ -425,7 +420,7 @@ FAR = 60
 
 
 def padded(lines: list[np.ndarray], lead: int, width: int) -> np.ndarray:
-    out = np.zeros((len(lines), lead + width), np.uint64)
+    out = np.zeros((len(lines), lead + width), np.uint32)
     for row, line in zip(out, lines, strict=True):
         row[lead : lead + len(line)] = line
     return out
@@ -463,10 +458,10 @@ def few_edits(one: list[np.ndarray], other: list[np.ndarray], limits: Limits) ->
 def connect(held: list[tuple[int, bytes, int]], limits: Limits) -> pa.RecordBatch:
     """Links among these lines (member, words, root) that join different roots."""
     member = np.array([m for m, _, _ in held], np.int64)
-    words = [np.frombuffer(w, np.uint64) for _, w, _ in held]
+    words = [np.frombuffer(w, np.uint32) for _, w, _ in held]
     _, root = np.unique([r for _, _, r in held], return_inverse=True)
     length = np.array(list(map(len, words)), np.int64)
-    classes = np.concatenate([n * 128 + (w >> np.uint64(57)).astype(np.int64) for n, w in enumerate(words)])
+    classes = np.concatenate([n * 128 + (w >> np.uint32(25)).astype(np.int64) for n, w in enumerate(words)])
     counts = np.minimum(np.bincount(classes, minlength=128 * len(words)).reshape(-1, 128), 100).astype(np.int8)
     order = np.argsort(np.bincount(root)[root], kind="stable")  # lines of small classes first
     left, right = [], []
@@ -549,8 +544,9 @@ def near(a: str, b: str, limits: Limits) -> bool:
     return within(x, y, int(limits.of(min(len(x), len(y)))))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, limits: Limits) -> DataFrame:
     """(a, b) of the pairs within the edits of the shorter line."""
+    texts = texts_of(docs, pairs.select(F.col("a").alias("line")).union(pairs.select("b")))
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
 
@@ -584,12 +580,11 @@ def near_links(docs: DataFrame, limits: Limits = LIMITS, paired: int = PAIRED_RO
         if last or crowds.isEmpty():
             break
         hot.append(bitmap_of(crowds, "a"))
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
-    links = verified(pairs, texts_of(docs, ends), limits)
+    links = materialise(verified(docs, pairs, limits))
     if rows is None:
-        return materialise(links)
-    links = materialise(links.union(star_links(rows, limits)).distinct())
-    return materialise(links.union(cross_links(rows, connected_components(links), limits, most)).distinct())
+        return links
+    crossing = materialise(cross_pairs(docs, rows, connected_components(links), limits, most).distinct())
+    return materialise(links.union(verified(docs, crossing, limits)).distinct())
 
 
 # classes and removal
