@@ -15,11 +15,10 @@ that the multi-match bounds allow.  What shares a key is first compared by count
 rest is verified by banded bit-parallel edit distance.
 
 A key of up to PAIRED_ROWS lines yields its pairs.  Lines of a key of up to GROUP_ROWS are a
-group.  PIVOTS lines of a group are paired with all of it;
-what these links connect is labelled, and then only lines of a group that are not yet connected
-are compared, in a band of the edit matrix, until nothing is left to connect: the same classes,
-without all pairs.  A key with more lines is refined: the matched segment is
-taken out and the remainders are joined in the same way under that key, up to LEVELS times, so
+group: PIVOTS of them are paired with all of it, what these links connect is labelled, and then
+only lines that are not yet connected are compared, in a band of the edit matrix, until nothing
+is left to connect: the same classes, without all pairs.  A key with more lines is refined: the
+matched segment is taken out and the remainders are joined in the same way under that key, up to LEVELS times, so
 a common segment costs another scan and not the pairs of all lines that have it.  What is as
 crowded after that shares most of its text; it is dealt out as pairs of blocks of lines, each
 pair of blocks a group of its own, so no task holds more than two blocks.
@@ -61,7 +60,7 @@ class Limits:
 LIMITS = Limits()
 PAIRED_ROWS = 64
 GROUP_ROWS = 2048
-PIVOTS = 4
+PIVOTS = 1
 LEVELS = 3
 PAIR, GROUP, CROWD = range(3)
 #: Hashes of lines that a worker remembers, to send a repeated line once; what was dropped is sent anew.
@@ -619,11 +618,9 @@ def duplicate_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     roots = connected_components(near_links(docs, limits))
     classed = lines.withColumn("line", F.expr("h1 & -2L")).join(roots, F.col("line") == F.col("node"), "left")
     firsts = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("class_first"))
-    repeated = (
-        classed.join(firsts, "root", "left")
-        .select("h1", "h2", F.coalesce("class_first", "first").alias("winner"), "first", "n")
-        .where("n > 1 or winner <> first")
-    )
+    linked = classed.where("root is not null").join(firsts, "root").select("h1", "h2", F.col("class_first").alias("winner"), "first", "n")
+    alone = classed.where("root is null").select("h1", "h2", F.col("first").alias("winner"), "first", "n")
+    repeated = linked.union(alone).where("n > 1 or winner <> first")
     return spots.join(repeated, ["h1", "h2"]).where(place != F.col("winner")).select(
         "doc", "line_no", "h1", F.col("winner.doc").alias("first_doc"), (F.col("winner") != F.col("first")).alias("near")
     )
