@@ -167,9 +167,10 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:010d}.bin"
 
 
-def write_files(records: DataFrame, out_dir: str, stride: int, shards: int) -> DataFrame:
-    """One file a shard; returns (shard, first_slot, n_slots, n_bytes, sha256)."""
-    dealt = records.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
+def write_files(records: DataFrame, out_dir: str, stride: int, first_shard: int, shards: int) -> DataFrame:
+    """One file a shard of the ``shards`` from ``first_shard`` on; returns (shard, first_slot, n_slots, n_bytes, sha256)."""
+    place = (F.col("shard") - F.lit(first_shard)).cast("int")  # shards are ranges of slots: one a partition, and none empty
+    dealt = records.repartitionById(max(1, shards), place).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out_dir)
@@ -232,7 +233,7 @@ def materialise_order(
         for wave in range(waves):
             first, last = wave * shards // waves, (wave + 1) * shards // waves
             records = sequences(table, offsets, total, seq_len, key, shard_slots, first * shard_slots, last * shard_slots)
-            written = write_files(records, out_dir, HEADER + 2 * seq_len, last - first)
+            written = write_files(records, out_dir, HEADER + 2 * seq_len, first, last - first)
             parts.append(f"{out_dir}/manifest-{wave}")
             written.write.mode("overwrite").parquet(parts[-1])
     store.delete_dir(f"{root}/encoded")
