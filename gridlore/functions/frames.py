@@ -29,3 +29,16 @@ def crc16(data: Column) -> Column:
 
     turns = F.sequence(F.lit(1), F.lit(8))
     return F.aggregate(data, F.lit(START), lambda crc, b: F.aggregate(turns, crc.bitwiseXOR(b), shift))
+
+
+def response_words(pdu: Column) -> Column:
+    """Words of a reading reply in hexadecimal: a function code, the number of bytes, then the bytes.
+
+    Null where the code is an error's or the bytes are not as many as are told.
+    """
+    data = hex_bytes(pdu)
+    told = F.get(data, 1)
+    sound = (F.get(data, 0) < 128) & (told % 2 == 0) & (F.size(data) == told + 2)
+    pairs = F.sequence(F.lit(0), F.shiftright(told, 1) - 1)
+    word = lambda n: F.get(data, 2 + 2 * n) * 256 + F.get(data, 3 + 2 * n)
+    return F.when(sound & (told > 0), F.transform(pairs, word)).when(sound, F.array().cast("array<int>"))

@@ -80,35 +80,75 @@ def durations(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     )
 
 
+#: Columns of a finding whose change makes an update; null and empty are the same.
+TOLD = ("severity", "confidence", "title", "summary")
+
+
 def reconcile(active: DataFrame, findings: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Next state of every incident: opened, updated, unchanged, resolved, or kept where it was not evaluated.
 
-    active and findings have (fingerprint, evaluation_key, severity); evaluated has evaluation_key.
+    active and findings have (fingerprint, evaluation_key, severity) and may have confidence, title
+    and summary; active may have occurrence_count; evaluated has evaluation_key.  What is found
+    again counts once more, updated or not.
     """
-    old = active.select("fingerprint", F.col("evaluation_key").alias("old_key"), F.col("severity").alias("old_severity"))
-    new = findings.select("fingerprint", F.col("evaluation_key").alias("new_key"), F.col("severity").alias("new_severity"))
-    both = old.join(new, "fingerprint", "full_outer").withColumn("evaluation_key", F.coalesce("new_key", "old_key"))
+    told = [c for c in TOLD if c in active.columns and c in findings.columns]
+    count = F.col("occurrence_count") if "occurrence_count" in active.columns else F.lit(1)
+    side = lambda df, age, *more: df.select(
+        "fingerprint", F.col("evaluation_key").alias(f"{age}_key"), F.struct(*told).alias(age), *more
+    )
+    old = side(active, "old", count.cast("long").alias("times"))
+    both = old.join(side(findings, "new"), "fingerprint", "full_outer").withColumn("evaluation_key", F.coalesce("new_key", "old_key"))
     seen = evaluated.select("evaluation_key").distinct().withColumn("seen", F.lit(True))
+    plain = lambda age, c: F.coalesce(F.col(f"{age}.{c}").cast("string"), F.lit(""))
+    changed = F.lit(False)
+    for c in told:
+        changed = changed | (plain("old", c) != plain("new", c))
+    again = F.col("new_key").isNotNull()
     action = (
         F.when(F.col("old_key").isNull(), "opened")
-        .when(F.col("new_key").isNotNull() & (F.col("old_severity") == F.col("new_severity")), "unchanged")
-        .when(F.col("new_key").isNotNull(), "updated")
+        .when(again & changed, "updated")
+        .when(again, "unchanged")
         .when(F.col("seen"), "resolved")
         .otherwise("kept")
     )
     return both.join(seen, "evaluation_key", "left").select(
-        "fingerprint", "evaluation_key", action.alias("action"), F.coalesce("new_severity", "old_severity").alias("severity")
+        "fingerprint",
+        "evaluation_key",
+        action.alias("action"),
+        F.coalesce("new.severity", "old.severity").alias("severity"),
+        (F.coalesce("times", F.lit(0)) + again.cast("long")).alias("occurrences"),
     )
 
 
-def health_score(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Five categories of 20 points each, less what the findings cost."""
-    cost = F.when(F.col("severity") == "critical", 20).when(F.col("severity") == "warning", 8).otherwise(2)
-    lost = findings.groupBy(*keys, "category").agg(F.least(F.lit(20), F.sum(cost)).alias("lost"))
-    score = (F.lit(100) - F.sum("lost")).cast("long")
-    return lost.groupBy(*keys).agg(
+#: What a finding of a severity costs its category, and the categories.
+COST = {"info": 2, "warning": 8, "critical": 20}
+CATEGORIES = ("production", "charging", "battery", "communications", "data_integrity")
+
+
+def health_score(findings: DataFrame, keys: list[str], subjects: DataFrame | None = None) -> DataFrame:
+    """Five categories of 20 points each, less what their findings cost; other categories cost nothing.
+
+    A finding without a category is one of data integrity.  subjects has all keys to score:
+    those without a finding have 100 points.
+    """
+    cost = F.lit(COST["info"])
+    for severity, points in COST.items():
+        cost = F.when(F.col("severity") == severity, points).otherwise(cost)
+    category = F.when(F.coalesce("category", F.lit("")) == "", "data_integrity").otherwise(F.col("category"))
+    lost = (
+        findings.withColumn("category", category)
+        .groupBy(*keys, "category")
+        .agg(F.least(F.lit(20), F.sum(cost)).alias("points"), F.count("*").alias("n"))
+        .groupBy(*keys)
+        .agg(F.sum(F.when(F.col("category").isin(*CATEGORIES), F.col("points")).otherwise(0)).alias("lost"), F.sum("n").alias("n"))
+    )
+    every = lost if subjects is None else subjects.select(*keys).distinct().join(lost, keys, "left")
+    score = (F.lit(100) - F.coalesce("lost", F.lit(0))).cast("long")
+    return every.select(
+        *keys,
         score.alias("score"),
-        F.when(score >= 85, "healthy").when(score >= 60, "attention").otherwise("critical").alias("status"),
+        F.when(score >= 85, "good").when(score >= 60, "warning").otherwise("critical").alias("status"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("active_incidents"),
     )
 
 
@@ -153,22 +193,31 @@ def stage_verdicts(stages: DataFrame) -> DataFrame:
 
 
 def derived_power(values: DataFrame) -> DataFrame:
-    """Reported input power checked against output power, or volts times amps where that is missing.
+    """Reported input power, or output power where the two disagree: power, source, quality and note.
 
-    values has (input_power, output_power, volts, amps).
+    values has (input_power, output_power, volts, amps); volts times amps stand in for a missing
+    output power.  Where nothing is reported all four are null.
     """
     reference = F.coalesce("output_power", F.col("volts") * F.col("amps"))
     reported = F.col("input_power")
     suspect = F.when(reference < 25, reported > 250).otherwise(
         (reported > F.greatest(2 * reference, reference + 250)) | (reported < 0.5 * reference)
     )
-    return values.withColumn(
-        "quality",
-        F.when(reported.isNull(), F.when(reference.isNull(), "missing").otherwise("derived"))
-        .when(reference.isNull(), "reported")
-        .when(suspect, "suspect")
-        .otherwise("reported"),
-    ).withColumn("power", F.when(F.col("quality").isin("suspect", "derived"), reference).otherwise(reported))
+    proxy = F.coalesce(suspect, F.lit(False))
+    either = lambda yes, no: F.when(reported.isNotNull(), F.when(proxy, yes).otherwise(no))
+    told = lambda watts: F.format_string("%.2f W", watts.cast("double"))
+    origin = F.when(F.col("output_power").isNotNull(), "output power").otherwise("voltage times current")
+    return values.withColumns(
+        {
+            "power": either(reference, reported),
+            "source": either(F.lit("charge_output_proxy"), F.lit("controller_reported")),
+            "quality": either(F.lit("estimated_from_output"), F.lit("reported_unverified")),
+            "note": either(
+                F.concat(F.lit("reported "), told(reported), F.lit(" against "), told(reference), F.lit(" by "), origin),
+                F.lit("the current behind the reported power is no precision measurement"),
+            ),
+        }
+    )
 
 
 #: Plausible range of a unit.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.functions import text, words
+from gridlore.functions import decoders, text, words
 from gridlore.operators import daily, history, site
 from gridlore.sources import lens
 
@@ -467,6 +467,7 @@ n AS (SELECT fingerprint, k, CASE WHEN top > 150 THEN 'critical' ELSE 'warning'
 v AS (SELECT DISTINCT k FROM f WHERE NOT old)
 SELECT fingerprint, coalesce(n.k, o.k) AS evaluation_key, CASE WHEN o.k IS NULL THEN 'opened' WHEN n.k IS NOT NULL AND o.sev = n.sev THEN 'unchanged'
   WHEN n.k IS NOT NULL THEN 'updated' WHEN coalesce(n.k, o.k) IN (SELECT k FROM v) THEN 'resolved' ELSE 'kept' END AS action,
+  CAST((o.k IS NOT NULL)::INT + (n.k IS NOT NULL)::INT AS BIGINT) AS occurrences,
   coalesce(n.sev, o.sev) AS severity FROM o FULL OUTER JOIN n USING (fingerprint)""")
 def incident_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.samples(spark, sf_dir)
@@ -476,18 +477,28 @@ def incident_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.reconcile(half_findings(before, 80, 150), half_findings(after, 80, 150), seen)
 
 
-@query("""WITH f AS (SELECT user_id AS device_id, event_type AS category, CASE WHEN value > 150 THEN 20 WHEN value > 80 THEN 8 ELSE 2 END AS cost
-  FROM events WHERE value > 60), l AS (SELECT device_id, category, least(20, sum(cost)) AS lost FROM f GROUP BY ALL)
-SELECT device_id, CAST(100 - sum(lost) AS BIGINT) AS score, CASE WHEN 100 - sum(lost) >= 85 THEN 'healthy' WHEN 100 - sum(lost) >= 60 THEN 'attention'
-  ELSE 'critical' END AS status FROM l GROUP BY ALL""")
+KIND_OF = {"view": "production", "click": "charging", "purchase": "battery", "signup": "other"}
+
+
+@query("""WITH f AS (SELECT user_id AS device_id, CASE event_type WHEN 'view' THEN 'production' WHEN 'click' THEN 'charging' WHEN 'purchase' THEN 'battery'
+  WHEN 'signup' THEN 'other' END AS category, CASE WHEN value > 150 THEN 20 WHEN value > 80 THEN 8 ELSE 2 END AS cost FROM events WHERE value > 120),
+l AS (SELECT device_id, coalesce(category, 'data_integrity') AS category, least(20, sum(cost)) AS lost, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT device_id, sum(CASE WHEN category = 'other' THEN 0 ELSE lost END) AS lost, sum(n) AS n FROM l GROUP BY ALL),
+s AS (SELECT u.device_id, 100 - coalesce(lost, 0) AS score, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id AS device_id FROM events) u LEFT JOIN d ON u.device_id = d.device_id)
+SELECT device_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'warning' ELSE 'critical' END AS status,
+  CAST(n AS BIGINT) AS active_incidents FROM s""")
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("numeric_value")
-    found = lens.samples(spark, sf_dir).where(v > 60).select(
+    v, kind = F.col("numeric_value"), F.col("register_name")
+    rows = lens.samples(spark, sf_dir)
+    category = F.lit(None).cast("string")
+    for name, told in KIND_OF.items():
+        category = F.when(kind == name, told).otherwise(category)
+    found = rows.where(v > 120).select(
         "device_id",
-        F.col("register_name").alias("category"),
+        category.alias("category"),
         F.when(v > 150, "critical").when(v > 80, "warning").otherwise("info").alias("severity"),
     )
-    return site.health_score(found, BY_DEVICE)
+    return site.health_score(found, BY_DEVICE, rows)
 
 
 @query("""SELECT l_suppkey AS device_id, count(*) AS n, round(count_if(l_returnflag <> 'R') / count(*), 6) AS success_rate,
@@ -576,12 +587,46 @@ def decode_bits_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DECODERS = (
+    "raw", "s16", "bcd", "u32", "s32", "u32_factor:0.5", "factor:0.25", "udivide:8", "percent:250", "tristar_voltage", "tristar_current",
+    "tristar_power", "tristar_rts_temp", "ts600_voltage", "suresine_classic_current", "bitfield_words", "byte_pair_version", "ascii_hi_lo", "none",
+)
+HALF = float_sql("(w0 >> 15)", "((w0 >> 10) & 31)", "(w0 & 1023)", 10, 15)
+S16 = "(w0 - CASE WHEN w0 >= 32768 THEN 65536 ELSE 0 END)"
+S32 = "((w0 - CASE WHEN w0 >= 32768 THEN 65536 ELSE 0 END) * 65536 + w1)"
+PRINTED = "(65 + w0 % 26)"
+
+
+@query(f"""WITH {W}, v AS (SELECT *, (l_orderkey + l_linenumber) % {len(DECODERS)} AS k, l_linenumber + w1 / 65536.0 AS volts, 2 * l_linenumber + w0 / 65536.0 AS amps,
+  l_linenumber >= 4 AS floats, CASE WHEN l_linenumber * 50 >= 180 THEN 6.4 ELSE 17.0 END AS scale FROM w)
+SELECT l_orderkey, l_linenumber, round(CAST(CASE k WHEN 0 THEN w0 WHEN 1 THEN {S16} WHEN 2 THEN CASE WHEN {NIBBLES} THEN
+    (w0 & 15) + 10 * ((w0 >> 4) & 15) + 100 * ((w0 >> 8) & 15) + 1000 * (w0 >> 12) ELSE w0 END
+  WHEN 3 THEN w0 * 65536 + w1 WHEN 4 THEN {S32} WHEN 5 THEN (w0 * 65536 + w1) * 0.5::DOUBLE WHEN 6 THEN {S16} * 0.25::DOUBLE
+  WHEN 7 THEN w0 / 8.0::DOUBLE WHEN 8 THEN w0 * 100.0::DOUBLE / 250 WHEN 9 THEN {S16} * volts::DOUBLE / 32768 WHEN 10 THEN {S16} * amps::DOUBLE / 32768
+  WHEN 11 THEN w0 * volts::DOUBLE * amps::DOUBLE / 131072 WHEN 12 THEN CASE WHEN w0 <> 128 THEN {S16} END
+  WHEN 13 THEN CASE WHEN floats THEN {HALF} ELSE {S16} * volts::DOUBLE / 32768 END WHEN 14 THEN {S16} * scale::DOUBLE / 32768
+  WHEN 15 THEN w0 + w1 * 65536 END AS DOUBLE), 4) + 0.0::DOUBLE AS number,
+  CASE k WHEN 12 THEN CASE WHEN w0 = 128 THEN 'DISCONNECTED' END WHEN 16 THEN CAST(w0 >> 8 AS VARCHAR) || '.' || CAST(w0 & 255 AS VARCHAR)
+  WHEN 17 THEN chr(CAST({PRINTED} AS INTEGER)) || 'x' END AS text FROM v""")
+def decode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, line = F.col("w0"), F.col("w1"), F.col("l_linenumber")
+    name = F.element_at(F.array(*map(F.lit, DECODERS)), ((F.col("l_orderkey") + line) % len(DECODERS) + 1).cast("int"))
+    letters = (65 + a % 26) * 256 + ord("x")
+    fields = F.when(name == "ascii_hi_lo", F.array(letters.cast("long"), F.lit(0).cast("long"))).otherwise(F.array(a.cast("long"), b.cast("long")))
+    known = {0: line, 1: b, 2: 2 * line, 3: a, 4: F.when(line >= 4, 0x19).otherwise(0x18), 13: line * 50}
+    context = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v.cast("long"))])
+    made = decoders.decode(name, fields, context)
+    rows = lens.words(spark, sf_dir).select("l_orderkey", "l_linenumber", made.alias("made"))
+    return rows.select("l_orderkey", "l_linenumber", (F.round("made.number", 4) + 0.0).alias("number"), "made.text")
+
+
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice / 10 END AS input_power,
   CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity * 40 END AS output_power, l_quantity AS volts, CAST(l_linenumber AS DOUBLE) AS amps FROM lineitem),
 x AS (SELECT *, coalesce(output_power, volts * amps) AS ref FROM v),
-q AS (SELECT *, CASE WHEN input_power IS NULL THEN CASE WHEN ref IS NULL THEN 'missing' ELSE 'derived' END WHEN ref IS NULL THEN 'reported'
-  WHEN CASE WHEN ref < 25 THEN input_power > 250 ELSE input_power > greatest(2 * ref, ref + 250) OR input_power < 0.5 * ref END THEN 'suspect' ELSE 'reported' END AS quality FROM x)
-SELECT l_orderkey, l_linenumber, quality, CASE WHEN quality IN ('suspect', 'derived') THEN ref ELSE input_power END AS power FROM q""")
+q AS (SELECT *, coalesce(CASE WHEN ref < 25 THEN input_power > 250 ELSE input_power > greatest(2 * ref, ref + 250) OR input_power < 0.5 * ref END, false) AS odd FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN input_power IS NULL THEN NULL WHEN odd THEN 'estimated_from_output' ELSE 'reported_unverified' END AS quality,
+  CASE WHEN input_power IS NULL THEN NULL WHEN odd THEN 'charge_output_proxy' ELSE 'controller_reported' END AS source,
+  CASE WHEN odd THEN ref ELSE input_power END AS power FROM q""")
 def derived_input_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     values = lens.table(spark, sf_dir, "lineitem").select(
@@ -592,7 +637,7 @@ def derived_input_power(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("volts"),
         line.cast("double").alias("amps"),
     )
-    return site.derived_power(values).select("l_orderkey", "l_linenumber", "quality", "power")
+    return site.derived_power(values).select("l_orderkey", "l_linenumber", "quality", "source", "power")
 
 
 UNITS = ("V", "A", "C", "%", "Hz", "rpm")

@@ -107,6 +107,27 @@ def test_exports(spark, tmp_path):
     assert [r.value for r in said("csv")] == ["words,id", '"[1,2]",1'] and said("json")[0].value == '{"id":1,"words":[1,2],"note":null}'
 
 
+def test_exchanges_have_the_words_of_their_replies(spark, tmp_path):
+    lines = [
+        '{"timestamp":"2026-08-14T00:00:01+00:00","unit_id":1,"function_code":3,"address":0,"count":2,"response_pdu_hex":"030400640050"}',
+        '{"timestamp":"x","unit_id":1,"function_code":3,"address":9,"count":1,"response_pdu_hex":"8302","error":"illegal address"}',
+        '{"unit_id":1,"function_code":3,"response_pdu_hex":"0300"}',
+        "not json",
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    got = landing.exchanges(spark, str(tmp_path / "log.jsonl")).collect()
+    assert [r.words for r in got] == [[100, 80], None, []] and got[0].recorded_at is not None and got[1].recorded_at is None
+
+
+def test_labels_and_numbers(spark):
+    rows = spark.createDataFrame([(" A:b\u2003C: ", "a b c"), ("Day:", "day"), (None, None)], "v string, told string")
+    assert all(r.told == r.got for r in rows.select("told", text.label_key(F.col("v")).alias("got")).collect())
+    rows = spark.createDataFrame([(".5 V", 0.5), ("-1,234.5", -1234.5), ("+3", 3.0), ("none", None)], "v string, told double")
+    assert all(r.told == r.got for r in rows.select("told", text.first_number(F.col("v")).alias("got")).collect())
+    rows = spark.createDataFrame([("12 days", 12.0), ("3 dogs", 3.0), ("2d 3h", 51.0), ("1.5 h", 1.5), ("", None)], "v string, told double")
+    assert all(r.told == r.got for r in rows.select("told", text.hour_meter(F.col("v")).alias("got")).collect())
+
+
 def test_replay(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"n":1,"function":"holding","address":5,"count":2,"words":[1,2]}\n\n{"n":2,"function":"holding","address":9,"count":1}\n')
     recorded = landing.transactions(spark, str(tmp_path / "log.jsonl"))

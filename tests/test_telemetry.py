@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.functions import text, words
+from gridlore.functions import decoders, text, words
 from gridlore.operators import daily, history, site
 from gridlore.plans import catalog as telemetry
 
@@ -105,3 +105,51 @@ def test_reconcile_keeps_what_was_not_evaluated(spark):
     seen = spark.createDataFrame([("k1",), ("k2",), ("k4",), ("k5",)], "evaluation_key string")
     got = {r.fingerprint: r.action for r in site.reconcile(active, found, seen).collect()}
     assert got == {"a": "updated", "b": "resolved", "c": "kept", "d": "unchanged", "e": "opened"}
+
+
+def test_versions_of_any_length(spark):
+    rows = spark.createDataFrame([("1.2.3.4.5", "1.2.3.4.6", False), ("1.2.3.4.6", "1.2.3.4.5", True), ("2", "1.9.9.9.9", True), ("1.2", "1.2.0.0.0", True)], "v string, since string, told boolean")
+    none = F.lit(None).cast("string")
+    assert all(r.told == r.got for r in rows.select("told", text.firmware_allows(F.col("v"), F.col("since"), none).alias("got")).collect())
+
+
+def test_reconcile_counts_and_sees_every_text(spark):
+    schema = "fingerprint string, evaluation_key string, severity string, confidence string, title string, occurrence_count long"
+    active = spark.createDataFrame([("a", "k1", "info", "low", None, 4), ("b", "k2", "info", "low", "t", 1)], schema)
+    found = spark.createDataFrame([("a", "k1", "info", "low", "", 0), ("b", "k2", "info", "high", "t", 0), ("c", "k3", "info", "low", "t", 0)], schema)
+    seen = spark.createDataFrame([("k1",), ("k2",)], "evaluation_key string")
+    got = {r.fingerprint: (r.action, r.occurrences) for r in site.reconcile(active, found, seen).collect()}
+    assert got == {"a": ("unchanged", 5), "b": ("updated", 2), "c": ("opened", 1)}
+
+
+def test_health_of_all_subjects(spark):
+    rows = [(1, "battery", "critical"), (1, "battery", "critical"), (1, "charging", "warning"), (2, "other", "critical"), (2, None, None)]
+    found = spark.createDataFrame(rows, "device_id long, category string, severity string")
+    every = spark.createDataFrame([(1,), (2,), (3,)], "device_id long")
+    got = {r.device_id: (r.score, r.status, r.active_incidents) for r in site.health_score(found, ["device_id"], every).collect()}
+    assert got == {1: (72, "warning", 3), 2: (98, "good", 2), 3: (100, "good", 0)}
+
+
+def test_derived_power_needs_a_report(spark):
+    rows = [(2210.45, 464.5, None, None), (500.0, 465.0, None, None), (None, 465.0, 1.0, 1.0), (2210.0, None, 13.25, 35.06), (900.0, None, None, None)]
+    values = spark.createDataFrame(rows, "input_power double, output_power double, volts double, amps double")
+    got = [(r.quality, r.power and round(r.power, 3)) for r in site.derived_power(values).collect()]
+    assert got == [
+        ("estimated_from_output", 464.5), ("reported_unverified", 500.0), (None, None), ("estimated_from_output", 464.545), ("reported_unverified", 900.0)
+    ]
+
+
+def test_decoders(spark):
+    context = {0: 100, 1: 0, 2: 80, 3: 0, 4: 0x0018, 13: 230}
+    cases = [
+        ("tristar_voltage", [0x4000], 50.0, None), ("tristar_current", [0xC000], -40.0, None), ("tristar_power", [0x2000], 500.0, None),
+        ("tristar_rts_temp", [0x80], None, "DISCONNECTED"), ("tristar_rts_temp", [0xFFFF], -1.0, None), ("ts600_voltage", [0x4000], 50.0, None),
+        ("ts600_other", [7], 7.0, None), ("suresine_classic_current", [0x4000], 3.2, None), ("f16", [0x3C00], 1.0, None), ("f16_percent", [0x3800], 50.0, None),
+        ("f32", [0x3F80, 0], 1.0, None), ("bitfield_words", [1, 2], 131073.0, None), ("u32", [1], None, None), ("u32_factor:0.1", [0, 10], 1.0, None),
+        ("ascii_lo_hi", [0x4241, 0x0043], None, "ABC"), ("ascii_hi_lo", [0x4142, 0xFFFF], None, "AB"), ("ascii_hi_lo", [0x41C8, 0x2020], None, "A\ufffd"),
+        ("percent:200", [50], 25.0, None), ("divide:10", [0xFFF6], -1.0, None), ("none", [1], None, None), ("raw", [], None, None),
+    ]
+    rows = spark.createDataFrame([(n, d, w, v, t, context) for n, (d, w, v, t) in enumerate(cases)], "n int, d string, w array<int>, v double, t string, c map<int,int>")
+    for r in rows.select("*", decoders.decode(F.col("d"), F.col("w"), F.col("c")).alias("got")).collect():
+        assert (r.got.number is None) == (r.v is None) and (r.v is None or abs(r.got.number - r.v) < 1e-9), r
+        assert r.got.text == r.t, r
