@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.llm.common import BASE, arrow_map, bitmap_of, in_bitmap, materialise, mix, read_table, slices, span_hashes, text_bytes, word_spans
+from gridlore.llm.common import BASE, arrow_map, bitmap_of, in_bitmap, materialise, mix, read_table, shuffles_cleaned, slices, span_hashes, text_bytes, word_spans
 from gridlore.llm.graph import connected_components
 
 
@@ -610,12 +610,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(doc, line_no, h1, first_doc, near): lines that are not the first of their class."""
-    spots = occurrences(docs)
-    place = F.struct("doc", "line_no")
-    lines = materialise(
-        spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    )
-    roots = connected_components(near_links(docs, limits))
+    with shuffles_cleaned(docs.sparkSession):
+        spots = occurrences(docs)
+        place = F.struct("doc", "line_no")
+        lines = materialise(
+            spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        )
+        roots = connected_components(near_links(docs, limits))
     classed = lines.withColumn("line", F.expr("h1 & -2L")).join(roots, F.col("line") == F.col("node"), "left")
     firsts = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("class_first"))
     linked = classed.where("root is not null").join(firsts, "root").select("h1", "h2", F.col("class_first").alias("winner"), "first", "n")

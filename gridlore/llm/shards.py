@@ -28,7 +28,6 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.llm.bpe import share_tokenizer, tokenizer_path
-from gridlore.llm.common import read_table, shared_path, slices
+from gridlore.llm.common import read_table, shared_path, shuffles_cleaned, slices
 
 SEQ_LEN = 512
 SHARD_SLOTS = 4096
@@ -240,18 +239,6 @@ def materialise_order(
     return spark.read.parquet(*parts)
 
 
-@contextmanager
-def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    """Within this, a query's shuffle files go when it has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def read_shards(manifest: DataFrame, out_dir: str, seq_len: int = SEQ_LEN, from_slot: int = 0) -> DataFrame:
     """(slot, doc_id, place, n_tokens, ids) from a slot on, each file read in one pass from its seek."""
     stride = HEADER + 2 * seq_len
