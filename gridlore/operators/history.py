@@ -116,7 +116,7 @@ def state_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest row of each key, without a sort: a partial aggregate on both sides of the shuffle."""
+    """The newest row of each key, without row numbers: a partial aggregate on both sides of the shuffle, which sorts as the order is a struct."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), at()).alias("r")).select(*keys, "r.*")
 
