@@ -5,7 +5,8 @@ of being good.  Grouped sums of these give every host, and every path within a h
 posterior: a path is shrunk toward its host, a host toward the whole corpus, by strengths
 that the method of moments estimates from the spread of the sites.  A document's prior is its
 path's posterior without the document's own share; the classifier's evidence (its log odds
-over those of the training rows) moves that prior to the document's posterior.
+over those of a break-even document) moves that prior to the document's posterior.  Where
+the break-even lies is chosen on labelled rows that the scoring weights have not seen.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows, drawn by a hash of the id;
 everything else covers all rows.  Without labels of both kinds the evidence is neutral.
@@ -19,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridlore.llm.common import arrow_map, materialise, read_table
+from gridlore.llm.common import arrow_map, materialise, mix, read_table
 from gridlore.llm.quality import duplicate_lines, repeated_words
 
 TRAIN_ROWS = 20_000
 KEEP_AT = 0.5
+FOLDS = 5
 CLASSES = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "0123456789",
@@ -99,8 +101,31 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> n
     return w
 
 
+def break_even(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """The log odds that best tell good from bad rows, each scored by weights of the other folds.
+
+    Good and bad rows weigh the same in sum; among equals the widest gap decides.
+    """
+    z = np.zeros(len(y))
+    for k in range(FOLDS):
+        seen = fold != k
+        if not 0 < y[seen].sum() < seen.sum():
+            return 0.0
+        w = fit(x[seen], y[seen])
+        z[~seen] = x[~seen] @ w[:-1] + w[-1]
+    order = np.argsort(z)
+    z, y = z[order], y[order]
+    bad_below = np.cumsum(1 - y)[:-1] / (1 - y).sum()
+    good_below = np.cumsum(y)[:-1] / y.sum()
+    gain, gap = bad_below - good_below, np.diff(z)
+    gain[gap == 0] = -1
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    at = best[np.argmax(gap[best])]
+    return float((z[at] + z[at + 1]) / 2)
+
+
 def learn(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """(weights, log odds of a good training row)."""
+    """(weights, log odds of a break-even document)."""
     truth = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("label_id"))
@@ -114,8 +139,8 @@ def learn(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, most:
     if len(y) == 0 or y.min() == y.max():
         return np.zeros(N_FEATURES + 1), 0.0
     x = np.array(table.column("features").to_pylist(), dtype=float)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    return fit(x, y), float(np.log(rate / (1 - rate)))
+    fold = mix(np.asarray(table.column("label_id")).view(np.uint64)) % np.uint64(FOLDS)
+    return fit(x, y), break_even(x, y, fold)
 
 
 def logit(p: Column) -> Column:
@@ -155,7 +180,7 @@ def posteriors(
 ) -> DataFrame:
     """(doc_id, doc_score, host_posterior, path_posterior, quality, kept) of every row."""
     rows = materialise(measured(df, id_col, text_col, host_col, path_col))
-    weights, base = learn(rows, labels, id_col, label_col)
+    weights, even = learn(rows, labels, id_col, label_col)
     dot = F.aggregate(
         F.zip_with("features", F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda f, w: f * w),
         F.lit(float(weights[-1])),
@@ -192,7 +217,7 @@ def posteriors(
         F.col("p").alias("doc_score"),
         "host_posterior",
         ((path_strength * F.col("host_posterior") + F.col("s")) / (path_strength + F.col("n"))).alias("path_posterior"),
-        logistic(logit(F.col("p")) - F.lit(base) + logit(others)).alias("quality"),
+        logistic(logit(F.col("p")) - F.lit(even) + logit(others) - logit(F.lit(overall))).alias("quality"),
     ).withColumn("kept", F.col("quality") >= keep_at)
 
 
