@@ -185,6 +185,22 @@ def rows_in(df: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col:
     return df.join(keys, same, "left_semi")
 
 
+OFTEN = 1024
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of ``table`` that belong to their key.
+
+    The table has one row for each key of the rows, and ``n`` counts the rows with it.  Keys
+    with over 1/OFTEN of all rows, which are fewer than OFTEN, are broadcast, so that none of
+    them meets in one task; the others are shuffled.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(table.where(F.col("n") * OFTEN > total).drop("n"))
+    others = rows.join(often.select(key), key, "left_anti")
+    return rows.join(often, key).unionByName(others.join(table.where(F.col("n") * OFTEN <= total).drop("n"), key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.llm.common import arrow_map, materialise, read_table, row_hash, text_bytes, word_spans
+from gridlore.llm.common import arrow_map, join_by_count, materialise, read_table, row_hash, text_bytes, word_spans
 from gridlore.llm.graph import connected_components
 
 MAX_BITS = 3
@@ -248,15 +248,15 @@ def links(nodes: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
 
 def components(prints: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, row_hash, fp, component_id, root) of (doc_id, row_hash, fp) rows; root tells components without ids apart."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(nodes.select("fp"), most))
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "root").select("fp", "component_id", "root")
     classes = nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
+        "fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
     )
-    return prints.join(classes, "fp", "left").select("doc_id", "row_hash", "fp", "component_id", "root")
+    return join_by_count(prints, materialise(classes), "fp").select("doc_id", "row_hash", "fp", "component_id", "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

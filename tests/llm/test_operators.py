@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlore.llm import bpe, chat, decontaminate, graph, langid, linededup, pii, quality, shards, simhash, siteprior
+from gridlore.llm import bpe, chat, common, decontaminate, graph, langid, linededup, pii, quality, shards, simhash, siteprior
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row_hash string"
 LONG = "word " * 30_000
@@ -393,3 +394,27 @@ def test_site_priors_move_documents(spark, empty):
     assert all(0 <= r.quality <= 1 for r in got.values())
     assert siteprior.posteriors(empty, labels).count() == 0
     assert siteprior.posteriors(table, labels.where("false")).count() == 202
+
+
+def test_break_even_lies_between_good_and_bad_rows_unseen():
+    rng = np.random.default_rng(3)
+    y = (np.arange(400) % 8 > 0).astype(float)
+    x = np.column_stack([y + rng.normal(0, 0.1, 400), rng.normal(0, 1, 400)])
+    fold = rng.integers(0, siteprior.FOLDS, 400)
+    at = siteprior.break_even(x, y, fold)
+    for k in range(siteprior.FOLDS):
+        w = siteprior.fit(x[fold != k], y[fold != k])
+        z = x[fold == k] @ w[:-1] + w[-1]
+        assert ((z > at) == (y[fold == k] == 1)).mean() > 0.98
+    assert siteprior.break_even(x, np.ones(400), fold) == 0.0
+    assert siteprior.break_even(x[:3], np.array([1.0, 0.0, 1.0]), np.array([0, 0, 0])) == 0.0
+
+
+@pytest.mark.parametrize("often", [2, 1024])
+def test_join_by_count_is_a_join(spark, monkeypatch, often):
+    monkeypatch.setattr(common, "OFTEN", often)
+    rows = spark.range(100).select(F.expr("CASE WHEN id < 60 THEN 0 ELSE id % 7 END").alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    got = sorted(map(tuple, common.join_by_count(rows, table, "k").select("k", "id", "last").collect()))
+    assert got == sorted(map(tuple, rows.join(table.drop("n"), "k").select("k", "id", "last").collect()))
+    assert common.join_by_count(rows.where("false"), table.where("false"), "k").count() == 0
