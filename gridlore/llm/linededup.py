@@ -292,7 +292,7 @@ def keys(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFrame:
-    """(kind, a, b): pairs a < b of lines that meet under a key, or (key, null) of keys of groups and crowds."""
+    """(kind, a, b): pairs a < b of lines that meet under a key, (key, line) of groups, (key, null) of crowds."""
     dealt = keyed.repartition("key").sortWithinPartitions("key", "member")
 
     def pairs(key: np.ndarray, member: np.ndarray, profile: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -322,11 +322,15 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
         a, b = a[a != b], b[a != b]
         kinds = np.full(len(a), PAIR, np.int32)
         yield pa.RecordBatch.from_pydict({"kind": kinds, "a": np.minimum(a, b), "b": np.maximum(a, b)})
-        large = np.flatnonzero(sizes > paired)
-        yield named(key[cuts[large]], np.where(sizes[large] > most, CROWD, GROUP))
+        grouped = np.repeat((sizes > paired) & (sizes <= most), sizes)
+        if grouped.any():
+            kinds = np.full(np.count_nonzero(grouped), GROUP, np.int32)
+            yield pa.RecordBatch.from_pydict({"kind": kinds, "a": key[grouped], "b": member[grouped] & -2})
+        yield crowded(key[cuts[:-1][sizes > most]])
 
-    def named(key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": kind.astype(np.int32), "a": key, "b": pa.nulls(len(key), pa.int64())})
+    def crowded(key: np.ndarray) -> pa.RecordBatch:
+        kinds = np.full(len(key), CROWD, np.int32)
+        return pa.RecordBatch.from_pydict({"kind": kinds, "a": key, "b": pa.nulls(len(key), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held, held_profile = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -345,7 +349,7 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
             held_key, held_profile = key[last:][only], profile[last:][only]
             if len(held) > most:
                 passing = held_key[0]
-                yield named(held_key[:1], np.array([CROWD]))
+                yield crowded(held_key[:1])
                 held_key, held, held_profile = held_key[:0], held[:0], held_profile[:0]
         if len(held):
             yield from pairs(held_key, held, held_profile)
@@ -353,7 +357,7 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
-def group_rows(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
+def crowd_rows(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
     """(key, member) of the lines with a key in the last bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -565,22 +569,22 @@ def near_links(docs: DataFrame, limits: Limits = LIMITS, paired: int = PAIRED_RO
     All such pairs, but for those that only meet in keys of more than ``paired`` lines: these
     come as forests that connect the same lines.
     """
-    pairs, rows, hot = None, None, []
+    pairs, rows, hot = None, None, []  # rows: (key, member) of groups
     for level in range(levels):
         met = materialise(candidates(keys(docs, limits, hot), paired, most, limits.most).distinct())
         found = met.where(f"kind = {PAIR}").select("a", "b")
         pairs = found if pairs is None else pairs.union(found).distinct()
         crowds = met.where(f"kind = {CROWD}")
         last = level + 1 == levels
-        groups = met.where(f"kind <> {PAIR}") if last else met.where(f"kind = {GROUP}")
-        if not groups.isEmpty():
-            more = group_rows(docs, limits, [*hot, bitmap_of(groups, "a")])
-            rows = more if rows is None else rows.union(more)
-        if last or crowds.isEmpty():
+        grouped = met.where(f"kind = {GROUP}").select(F.col("a").alias("key"), F.col("b").alias("member"))
+        rows = grouped if rows is None else rows.union(grouped)
+        if crowds.isEmpty():
             break
         hot.append(bitmap_of(crowds, "a"))
+        if last:
+            rows = rows.union(crowd_rows(docs, limits, hot))
     links = materialise(verified(docs, pairs, limits))
-    if rows is None:
+    if rows.isEmpty():
         return links
     crossing = materialise(cross_pairs(docs, rows, connected_components(links), limits, most).distinct())
     return materialise(links.union(verified(docs, crossing, limits)).distinct())
