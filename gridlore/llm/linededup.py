@@ -207,7 +207,7 @@ class Views:
         return Views(self.words[source], length, self.line[on], key, side, t, gap)
 
 
-#: Words of lines that are refined together.
+#: Words of lines that are refined, or compared within a group, together.
 TOGETHER = 1 << 16
 
 
@@ -468,6 +468,21 @@ def connect(held: list[tuple[int, bytes, int]], limits: Limits) -> pa.RecordBatc
     counts = np.minimum(np.bincount(classes, minlength=128 * len(words)).reshape(-1, 128), 100).astype(np.int8)
     order = np.argsort(np.bincount(root)[root], kind="stable")  # lines of small classes first
     left, right = [], []
+    held_x: list[np.ndarray] = []
+    held_y: list[np.ndarray] = []
+    waiting = 0
+
+    def link() -> None:
+        xs, ys = np.concatenate(held_x), np.concatenate(held_y)
+        close = few_edits([words[x] for x in xs], [words[y] for y in ys], limits)
+        for x, y in zip(xs[close], ys[close], strict=True):
+            if root[x] != root[y]:
+                left.append(member[x])
+                right.append(member[y])
+                root[root == root[y]] = root[x]
+        held_x.clear()
+        held_y.clear()
+
     for place, x in enumerate(order):
         rest = order[place + 1 :]
         rest = rest[root[rest] != root[x]]
@@ -477,11 +492,14 @@ def connect(held: list[tuple[int, bytes, int]], limits: Limits) -> pa.RecordBatc
         rest = rest[np.abs(counts[rest] - counts[x]).sum(axis=1) <= 2 * edits]  # an edit moves the counts by 2 at most
         if not len(rest):
             continue
-        found = rest[few_edits([words[x]] * len(rest), [words[y] for y in rest], limits)]
-        _, first = np.unique(root[found], return_index=True)
-        left += [member[x]] * len(first)
-        right += member[found[first]].tolist()
-        root[np.isin(root, root[found])] = root[x]
+        held_x.append(np.full(len(rest), x))
+        held_y.append(rest)
+        waiting += len(rest) * length[x]
+        if waiting >= TOGETHER:
+            link()
+            waiting = 0
+    if held_x:
+        link()
     a, b = np.array(left, np.int64), np.array(right, np.int64)
     return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
