@@ -293,9 +293,11 @@ def keys(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
 
 def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFrame:
     """(kind, a, b): pairs a < b of lines that meet under a key, (key, line) of groups, (key, null) of crowds."""
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "member")
+    dealt = keyed.repartition("key").sortWithinPartitions("key")  # one long: Spark sorts it by radix
 
     def pairs(key: np.ndarray, member: np.ndarray, profile: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((member, key))
+        key, member, profile = key[order], member[order], profile[order]
         new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(member) != 0)])
         key, member, profile = key[new], member[new], profile[new]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
