@@ -143,27 +143,61 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return opens, closes, rows
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+LANE_MASKS = np.array([(1 << (8 * n)) - 1 if n < 8 else (1 << 64) - 1 for n in range(9)], np.uint64)
+
+
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1))
+
+
+def lane_words(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next bytes of each span, ``left`` of them and eight at most, as an integer."""
+    return np.ascontiguousarray(lanes[at]).view(np.uint64).ravel() & LANE_MASKS[np.minimum(left, 8)]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of byte spans: equal spans have equal hashes wherever they stand.
 
     Each span is read in lanes of eight bytes, so the work is a few passes over the spans.
     """
     lengths = ends - starts
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    lanes = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1))
-    out = mix(lengths.astype(np.uint64) + BASE)
+    lanes = lanes_of(data)
+    out = mix(lengths.astype(np.uint64) + np.uint64(int(BASE) * (2 * seed + 1) & (1 << 64) - 1))
     todo = np.arange(len(starts))
     at = starts.astype(np.int64)
     left = lengths.astype(np.int64)
-    masks = np.array([(1 << (8 * n)) - 1 if n < 8 else (1 << 64) - 1 for n in range(9)], np.uint64)
     while len(todo):
-        word = np.ascontiguousarray(lanes[at]).view(np.uint64).ravel() & masks[np.minimum(left, 8)]
+        word = lane_words(lanes, at, left)
         out[todo] = mix((out[todo] * BASE) ^ word)
         keep = left > 8
         todo, at, left = todo[keep], at[keep] + 8, left[keep] - 8
     return out
 
 
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of a has the very bytes of its partner in b."""
+    out = (a_ends - a_starts) == (b_ends - b_starts)
+    todo = np.flatnonzero(out)
+    a_lanes, b_lanes = lanes_of(a), lanes_of(b)
+    a_at, b_at, left = a_starts[todo].astype(np.int64), b_starts[todo].astype(np.int64), (a_ends - a_starts)[todo].astype(np.int64)
+    while len(todo):
+        same = lane_words(a_lanes, a_at, left) == lane_words(b_lanes, b_at, left)
+        out[todo[~same]] = False
+        keep = same & (left > 8)
+        todo, a_at, b_at, left = todo[keep], a_at[keep] + 8, b_at[keep] + 8, left[keep] - 8
+    return out
+
+
+def span_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as strings."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    chosen = data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(chosen.tobytes())]).cast(pa.string())
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive word hashes (runs across rows included)."""
     count = max(0, len(words) - n + 1)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from gridlore.llm.bpe import op1_bpe
 from gridlore.llm.chat import OP4_SQL, op4_chat_format
 from gridlore.llm.decontaminate import op6_decontamination
+from gridlore.llm.divergence import OP12_SQL, op12_source_divergence
 from gridlore.llm.langid import op9_language_id
+from gridlore.llm.lexical import OP11_SQL, op11_ranked_search
+from gridlore.llm.licenses import OP13_SQL, op13_license_scan
 from gridlore.llm.linededup import op3_line_dedup
 from gridlore.llm.pii import op2_pii
 from gridlore.llm.quality import op5_quality_rules
@@ -26,6 +29,14 @@ QUERIES = {
         op8_training_order,
         op9_language_id,
         op10_quality,
+        op11_ranked_search,
+        op12_source_divergence,
+        op13_license_scan,
     )
 }
-ORACLE_SQL = {"op4_chat_format": OP4_SQL}
+ORACLE_SQL = {
+    "op4_chat_format": OP4_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
+    "op13_license_scan": OP13_SQL,
+}
