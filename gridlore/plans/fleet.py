@@ -8,6 +8,7 @@ from gridlore.functions import frames
 from gridlore.operators import findings, fleet, outlook, site
 from gridlore.plans.telemetry import CHANGES, QUERIES, SQL, E, backtest_errors, float_probability, query
 from gridlore.sources import archive, lens
+from gridlore.sources.shared import shared_dir
 from gridlore.streaming import live
 
 
@@ -229,7 +230,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/streams"
+    return f"{shared_dir(spark)}/streams"
 
 
 @query(f"""WITH {E}, {CHANGES} SELECT device_id, observed_at, sample_id, state, previous FROM c WHERE changed = 1""")
