@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,10 +33,12 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Bytes of pretokens and ids, with what Python adds to them, that each of two generations of a worker holds.
-#: What was dropped is encoded anew.
+#: Bytes of pretokens and ids, as Python counts them, that each of two generations of a worker holds before it
+#: makes room; one slice of texts may come on top.  What was dropped is encoded anew.
 REMEMBERED_BYTES = 16 << 20
-ENTRY_BYTES = 220
+#: What a dictionary adds to an entry, about, and the longest pretoken that is remembered.
+SLOT_BYTES = 104
+REMEMBERED_LENGTH = 200
 #: Text bytes that are encoded together; the arrays of the pair index are some 30 times as large at most.
 ENCODE_BYTES = 2 << 20
 
@@ -75,6 +78,7 @@ class BpeModel:
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where the pair has none or touches a border."""
@@ -141,20 +145,27 @@ class BpeModel:
         flat = ids[live].astype("<u4").tobytes()
         return [flat[4 * counts[i] : 4 * counts[i + 1]] for i in range(len(pretokens))]
 
-    def learn(self, pretokens: set[str]) -> None:
-        """Encode pretokens that are new; they share one occurrence index."""
-        if ENTRY_BYTES * len(self.recent) > REMEMBERED_BYTES:
-            self.older, self.recent = self.recent, {}
+    def learn(self, pretokens: set[str]) -> list[str]:
+        """Encode pretokens that are new; they share one occurrence index.  Returns those that are too long to be kept."""
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.recent, self.held = self.recent, {}, 0
         recent, older = self.recent, self.older
-        new = []
+        new, long = [], []
         for p in pretokens.difference(recent):
             if p in older:
                 recent[p] = older[p]
+                self.held += sys.getsizeof(p) + sys.getsizeof(recent[p]) + SLOT_BYTES
             else:
                 new.append(p)
         if new:
             new.sort()
-            recent.update(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
+            for p, ids in zip(new, self.merge_all([p.encode() for p in new]), strict=True):
+                recent[p] = ids
+                if len(p) > REMEMBERED_LENGTH:
+                    long.append(p)
+                else:
+                    self.held += sys.getsizeof(p) + sys.getsizeof(ids) + SLOT_BYTES
+        return long
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
@@ -169,9 +180,12 @@ class BpeModel:
                     plan.append(found := PRETOKEN.findall(piece))
                     seen.update(found)
             plans.append(plan)
-        self.learn(seen)
+        long = self.learn(seen)
         get = self.recent.__getitem__
-        return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in plan]) for plan in plans]
+        out = [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in plan]) for plan in plans]
+        for p in long:
+            del self.recent[p]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian 32-bit ids; bytes that are no UTF-8 become U+FFFD."""

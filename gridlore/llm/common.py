@@ -7,8 +7,6 @@ text is never cut.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -16,28 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getCheckpointDir()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="gridlore-checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+from gridlore.sources.shared import materialise, shared_dir, shared_path  # noqa: F401  for the operators
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+SLICE_BYTES = 1 << 20
 
 
 @contextmanager

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -45,6 +46,20 @@ def test_bpe_equals_the_library():
         assert model.decode(g) == told.decode(e.ids, skip_special_tokens=False)
 
 
+def test_what_a_worker_remembers_is_bounded_by_bytes(monkeypatch):
+    model = bpe.BpeModel(open(bpe.tokenizer_path(), encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 20_000)
+    random.seed(8)
+    size = lambda d: sum(sys.getsizeof(k) + sys.getsizeof(v) + bpe.SLOT_BYTES for k, v in d.items())
+    told = Tokenizer.from_file(bpe.tokenizer_path())
+    for n in range(60):
+        texts = ["x" * 5_000 + "y" * n, " ".join("".join(random.choices("abcdefé", k=random.randint(1, 180))) for _ in range(40))]
+        got = [np.frombuffer(g, "<u4").tolist() for g in model.encode_batch(texts)]
+        assert got == [e.ids for e in told.encode_batch(texts, add_special_tokens=False)]
+        assert size(model.recent) == model.held <= 20_000 + 40 * 1_200 and size(model.older) <= 20_000 + 40 * 1_200
+        assert max(map(len, model.recent)) <= bpe.REMEMBERED_LENGTH
+
+
 def test_bpe_edges(spark, empty):
     path = bpe.tokenizer_path()
     rows = {r.doc_id: r.decoded_text for r in bpe.decode(bpe.encode(docs(spark, EDGES), path), path).collect()}
