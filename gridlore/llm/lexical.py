@@ -10,7 +10,7 @@ conjunction: the documents that may have the term so often, no fewer than do.  T
 level so found bounds the term's frequency, hence its part of the score; the weighted
 sum over an item's terms bounds the document's score.  Two passes over the blocks follow:
 
-* the documents with the highest bounds are scored exactly; the last of an item's best
+* the documents with the highest bounds of any item are scored exactly, for all items; the last of an item's best
   ``top`` scores is a floor that the true ranking cannot fall below;
 * every document whose bound reaches the floor is scored exactly, and the best are ranked.
 
@@ -51,7 +51,7 @@ BLOCK_DOCS = 256
 BLOCK_CELLS = 1 << 23
 #: Terms of the items that are searched together, about.
 ITEM_TERMS = 1 << 16
-#: Candidates are broadcast up to this number, beyond it joined by a shuffle.
+#: Documents to score are broadcast, 16 bytes each, up to this number; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Cells of (terms x documents) and (terms of items x documents) at a time.
 CELLS = 1 << 21
@@ -282,7 +282,7 @@ def query_levels(query: Query) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def highest_bounds(index: DataFrame, query: Query, top: int) -> DataFrame:
-    """(item, doc_id, row_hash): for each item the documents with the highest bounds."""
+    """(doc_id, row_hash) of the documents with the highest bounds for some item, ``top`` an item."""
     shared = index.sparkSession.sparkContext.broadcast(query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,11 +313,11 @@ def highest_bounds(index: DataFrame, query: Query, top: int) -> DataFrame:
     rows = index.where("bits is not null").select("width", "bits", "doc_id", "row_hash", "length")
     found = rows.mapInArrow(run, "item long, bound long, doc_id long, row_hash long")
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "doc_id", "row_hash")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("item", "doc_id", "row_hash")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("doc_id", "row_hash")
 
 
 def reaching(index: DataFrame, query: Query, floors: np.ndarray) -> DataFrame:
-    """(doc_id, row_hash, items): documents whose bound reaches the floor of some items."""
+    """(doc_id, row_hash) of the documents whose bound reaches the floor of some item."""
     shared = index.sparkSession.sparkContext.broadcast((query, floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,52 +325,40 @@ def reaching(index: DataFrame, query: Query, floors: np.ndarray) -> DataFrame:
         levels = query_levels(q)
         for batch in batches:
             for found, doc_id, row in parts_of(batch, q, levels):
-                doc, item = np.nonzero((found >= least[:, None]).T)
-                some, counts = np.unique(doc, return_counts=True)
-                if len(some):
-                    at = pa.array(some)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                    yield pa.RecordBatch.from_pydict({"doc_id": doc_id.take(at), "row_hash": row.take(at), "items": pa.ListArray.from_arrays(offsets, pa.array(q.items[item]))})
+                on = pa.array((found >= least[:, None]).any(axis=0))
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_id.filter(on), "row_hash": row.filter(on)})
 
     rows = index.where("bits is not null").select("width", "bits", "doc_id", "row_hash", "length")
-    return rows.mapInArrow(run, "doc_id long, row_hash long, items array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_hash long")
 
 
-def exact_scores(docs: DataFrame, wanted: DataFrame, n_wanted: int, query: Query, floors: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(item, doc_id, row_hash, score) of the wanted (doc_id, row_hash, items), from whole texts; scores below an item's floor are left out.
-
-    Equal (id, text) rows of the index have equal signatures, so ``wanted`` may list them several times; it is made distinct first.
-    """
+def exact_scores(docs: DataFrame, wanted: DataFrame, query: Query, floors: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(item, doc_id, row_hash, score) of the wanted (doc_id, row_hash), from whole texts; scores below an item's floor are left out."""
     shared = docs.sparkSession.sparkContext.broadcast((query, floors))
-    keys = wanted.dropDuplicates(["doc_id", "row_hash"]).select(F.col("doc_id").alias("w_id"), F.col("row_hash").alias("w_hash"), "items")
-    keys = F.broadcast(keys) if n_wanted <= BROADCAST_ROWS else keys
+    keys = materialise(wanted.distinct()).toDF("w_id", "w_hash")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(F.col(text_col)).alias("row_hash"))
-    joined = narrow.join(keys, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash")))
+    joined = narrow.join(keys, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash")), "left_semi")
 
-    def run(part: pa.RecordBatch) -> dict:
+    def run(part: pa.RecordBatch) -> Iterator[dict]:
         q, least = shared.value
         data, starts, ends, of = lowered(part.column("text"), ALNUM)
         on, term = q.find(data, starts, ends)
         doc, term, tf = distinct_pairs(of[on], term)
         m = q.length_parts(np.bincount(of, minlength=part.num_rows))
         value = q.weights[term] * share(tf, m[doc])
-        cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        place = np.argsort(q.items)
-        every = np.zeros(len(q.hashes), np.int64)
-        out: list[tuple[int, int, int]] = []
-        for r in range(part.num_rows):
-            mine = slice(cuts[r], cuts[r + 1])
-            every[term[mine]] = value[mine]
-            for i in place[np.searchsorted(q.items, part.column("items")[r].values, sorter=place)].tolist():
-                score = int(every[q.refs[q.first[i] : q.first[i + 1]]].sum())
-                if score >= least[i]:
-                    out.append((r, int(q.items[i]), score))
-            every[term[mine]] = 0
-        row, item, score = np.array(out, np.int64).reshape(-1, 3).T
-        at = pa.array(row)
-        return {"item": item, "doc_id": part.column("doc_id").take(at), "row_hash": part.column("row_hash").take(at), "score": score}
-
-    return arrow_map(joined.select("doc_id", "row_hash", "items", "text"), run, "item long, doc_id long, row_hash long, score long", "text")
+        step = max(1, CELLS // (len(q.refs) + len(q.hashes)))
+        for first in range(0, part.num_rows, step):
+            last = min(first + step, part.num_rows)
+            own = (doc >= first) & (doc < last)
+            every = np.zeros((len(q.hashes), last - first), np.int64)
+            every[term[own], doc[own] - first] = value[own]
+            scores = np.add.reduceat(every[q.refs], q.first[:-1], axis=0)
+            item, row = np.nonzero(scores >= least[:, None])
+            at = pa.array(first + row)
+            yield {"item": q.items[item], "doc_id": part.column("doc_id").take(at), "row_hash": part.column("row_hash").take(at), "score": scores[item, row]}
+
+    return arrow_map(joined.select("doc_id", "row_hash", "text"), run, "item long, doc_id long, row_hash long, score long", "text")
 
 
 def best(scores: DataFrame, top: int) -> DataFrame:
@@ -388,14 +376,12 @@ def search_group(docs: DataFrame, rows: list[tuple[int, list[str]]], top: int, i
         df[term] = n
     query.weights = np.array([weight(query.n_docs, n) for n in df.tolist()], np.int64)
     lowest = np.ones(len(query.items), np.int64)
-    seeds = materialise(highest_bounds(index, query, top).groupBy("doc_id", "row_hash").agg(F.collect_list("item").alias("items")))
-    known = best(exact_scores(docs, seeds, seeds.count(), query, lowest, id_col, text_col), top)
+    known = best(exact_scores(docs, highest_bounds(index, query, top), query, lowest, id_col, text_col), top)
     place = {item: n for n, item in enumerate(query.items.tolist())}
     floors = lowest.copy()
     for item, score in known.where(F.col("rank") == top).select("item", "score").collect():  # a row an item of the group at most
         floors[place[item]] = score
-    wanted = materialise(reaching(index, query, floors))
-    return best(exact_scores(docs, wanted, wanted.count(), query, floors, id_col, text_col), top)
+    return best(exact_scores(docs, reaching(index, query, floors), query, floors, id_col, text_col), top)
 
 
 def search(
