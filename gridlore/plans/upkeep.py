@@ -37,35 +37,35 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-@query("""WITH p AS (SELECT l_suppkey AS device_id, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS seen, l_returnflag = 'R' AS bad, l_quantity, l_linestatus FROM lineitem)
+@query("""WITH p AS (SELECT user_id AS device_id, event_id AS id, ts AS seen, event_type = 'error' AS bad, value, event_type FROM events)
 SELECT device_id, CASE WHEN arg_max(bad, (seen, id)) THEN 'error' ELSE 'online' END AS status, max(seen) FILTER (NOT bad) AS last_seen,
   CASE WHEN arg_max(bad, (seen, id)) THEN 1000 END AS error_chars, count(*) FILTER (NOT bad) AS n_samples, count(*) FILTER (bad) AS n_errors,
-  CAST(coalesce(sum(l_quantity) FILTER (NOT bad), 0) AS DOUBLE) AS quantity, count(*) FILTER (NOT bad AND l_linestatus = 'F') AS n_true FROM p GROUP BY device_id""")
+  round(coalesce(sum(value) FILTER (NOT bad), 0), 4) AS total, count(*) FILTER (event_type = 'click') AS n_true FROM p GROUP BY device_id""")
 def appended_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices after all polls were appended by a stream, from what the three tables hold."""
     root = shared_path(spark, "polls")
-    polls = stream_of(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey * 10 + l_linenumber AS sample_id",
-        "l_suppkey AS device_id",
-        "l_shipdate AS observed_at",
-        "l_extendedprice AS latency_ms",
+    polls = stream_of(spark, sf_dir, "events").selectExpr(
+        "event_id AS sample_id",
+        "user_id AS device_id",
+        "ts AS observed_at",
+        "value AS latency_ms",
         "'p' AS profile",
-        "CASE WHEN l_returnflag = 'R' THEN repeat('no reply. ', 150) END AS error",
-        """array(struct('quantity' AS name, 1 AS address, 'holding' AS function, array(l_linenumber) AS raw, CAST(l_quantity AS DOUBLE) AS number,
+        "CASE WHEN event_type = 'error' THEN repeat('no reply. ', 150) END AS error",
+        """array(struct('value' AS name, 1 AS address, 'holding' AS function, array(1, 2) AS raw, CASE WHEN NOT isnan(value) THEN value END AS number,
              CAST(NULL AS BOOLEAN) AS flag, CAST(NULL AS STRING) AS text, 'A' AS unit),
-           struct('final' AS name, 2 AS address, 'coil' AS function, array(0) AS raw, CAST(NULL AS DOUBLE) AS number, l_linestatus = 'F' AS flag,
+           struct('click' AS name, 2 AS address, 'coil' AS function, array(0) AS raw, CAST(NULL AS DOUBLE) AS number, event_type = 'click' AS flag,
              CAST(NULL AS STRING) AS text, CAST(NULL AS STRING) AS unit)) AS values""",
     )
     sink.append_polls(polls, root).awaitTermination()
     samples, values, errors = (sink.appended(spark, root, n) for n in sink.TABLES)
     of_device = values.join(samples.select("sample_id", "device_id"), "sample_id").groupBy("device_id").agg(
-        F.sum("numeric_value").alias("quantity"), F.count_if(F.col("text_value") == "True").alias("n_true")
+        F.round(F.sum("numeric_value"), 4).alias("total"), F.count_if(F.col("text_value") == "True").alias("n_true")
     )
     counts = samples.groupBy("device_id").agg(F.count("*").alias("n_samples"))
     failed = errors.groupBy("device_id").agg(F.count("*").alias("n_errors"))
     status = sink.device_status(samples, errors)
     joined = status.join(counts, "device_id", "left").join(failed, "device_id", "left").join(of_device, "device_id", "left")
-    return joined.select("device_id", "status", "last_seen", F.length("last_error").alias("error_chars"), "n_samples", "n_errors", "quantity", "n_true").na.fill(0, ["n_samples", "n_errors", "quantity", "n_true"])
+    return joined.select("device_id", "status", "last_seen", F.length("last_error").alias("error_chars"), "n_samples", "n_errors", "total", "n_true").na.fill(0, ["n_samples", "n_errors", "total", "n_true"])
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, unnest(['high', 'third']) AS fingerprint, event_type, value FROM events),
