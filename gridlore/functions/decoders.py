@@ -54,9 +54,9 @@ def decode(decoder: Column, fields: Column, context: Column) -> Column:
     factor = F.try_element_at(F.split(decoder, ":"), F.lit(2)).try_cast("double")
     word = lambda n: F.get(fields, n).bitwiseAND(F.lit(65535)).cast("long")
     at = lambda address: F.coalesce(F.try_element_at(context, F.lit(address)), F.lit(0)).cast("long")
-    raw, signed, both = word(0), w.signed16(word(0)), F.when(size == 2, F.lit(True))
+    raw, signed = word(0), w.signed16(word(0))
     volts, amps = (w.fixed_point(at(a), at(b)) for a, b in (VOLTS, AMPS))
-    unsigned_pair, signed_pair = both & True, w.signed32(word(0), word(1))
+    two = lambda value: F.when(size == 2, value)
     by_volts, by_amps = signed * volts / 32768.0, signed * amps / 32768.0
     floats = w.packed_decimal(at(FIRMWARE)) >= FLOAT_FIRMWARE
     scale = F.when(at(OUTPUT_VOLTS) >= HIGH_LINE, HIGH_LINE_SCALE).otherwise(LOW_LINE_SCALE)
@@ -64,12 +64,12 @@ def decode(decoder: Column, fields: Column, context: Column) -> Column:
         "raw": raw,
         "s16": signed,
         "f16": w.binary16(raw),
-        "f32": w.binary32(word(0), word(1)),
+        "f32": two(w.binary32(word(0), word(1))),
         "bcd": w.packed_decimal(raw),
-        "u32": F.when(unsigned_pair, w.unsigned32(word(0), word(1))),
-        "s32": signed_pair,
-        "u32_factor": F.when(unsigned_pair, w.unsigned32(word(0), word(1)) * factor),
-        "s32_factor": signed_pair * factor,
+        "u32": two(w.unsigned32(word(0), word(1))),
+        "s32": two(w.signed32(word(0), word(1))),
+        "u32_factor": two(w.unsigned32(word(0), word(1)) * factor),
+        "s32_factor": two(w.signed32(word(0), word(1)) * factor),
         "bitfield_words": little_words(fields),
         "f16_percent": w.binary16(raw) * 100.0,
         "factor": signed * factor,

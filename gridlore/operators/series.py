@@ -179,11 +179,19 @@ def system_health(controllers: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def longest_alias(texts: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
-    """The profile whose alias stands in the text: by priority, then the longest alias, then the name.
+def by_alias(text: Column, aliases: list[tuple[str, str, int]]) -> Column:
+    """The profile whose alias stands in a text: by priority, then the longest alias, then the name.
 
-    aliases (alias, profile, priority) is a fixed table of a few rows, the only side that is compared with all texts.
+    A fixed list becomes one expression, so texts are neither joined nor shuffled.
     """
-    said = texts.join(F.broadcast(aliases), F.col("text").contains(F.col("alias")), "left")
+    found = F.lit(None).cast("string")
+    for alias, profile, _ in sorted(aliases, key=lambda a: (a[2], -len(a[0]), a[1]), reverse=True):
+        found = F.when(text.contains(alias), profile).otherwise(found)
+    return found
+
+
+def longest_alias(texts: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for a table of aliases (alias, profile, priority), each compared with every text."""
+    said = texts.join(aliases, F.col("text").contains(F.col("alias")), "left")
     best = F.struct("priority", -F.length("alias"), "profile")
     return said.groupBy(*keys).agg(F.min_by("profile", best).alias("profile"))

@@ -80,6 +80,43 @@ def durations(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     )
 
 
+#: States whose coming is counted, and how far apart samples may be.
+ENTRIES = {"ABSORPTION": "absorption_entries", "FLOAT": "float_entries"}
+NEAR_S = 900
+
+
+def charge_cycle(samples: DataFrame, keys: list[str], now: Column, hours: int = 24, cap_s: float = NEAR_S) -> DataFrame:
+    """The charge states of each key in the hours before now: samples, transitions, entries, the sequence, and seconds by state.
+
+    States are trimmed and in upper case; blank ones count as samples and nothing else.  Time to the next state is credited unless it
+    is over the cap.  Sequences and maps are bounded by the samples of the period.
+    """
+    at = F.col("observed_at").cast("timestamp")
+    state = F.upper(F.trim(F.coalesce("state", F.lit(""))))
+    rows = samples.where((at >= now.cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))) & (at < now.cast("timestamp"))).withColumn("state", state)
+    series = Window.partitionBy(*keys).orderBy("observed_at", "sample_id")
+    after = (F.lead(F.unix_micros(at)).over(series) - F.unix_micros(at)) / 1e6
+    before = F.lag("state").over(series)
+    told = rows.where("state <> ''").select(
+        *keys, "observed_at", "sample_id", "state", after.alias("after"), (before.isNull() | (before != F.col("state"))).alias("entry")
+    )
+    step = F.when(F.col("entry"), F.struct("observed_at", "sample_id", "state"))
+    by_state = told.groupBy(*keys, "state").agg(
+        F.round(F.sum(F.when(F.col("after") <= cap_s, F.col("after")).otherwise(0.0)), 6).alias("seconds"),
+        F.count_if("entry").alias("entries"),
+        F.collect_list(step).alias("steps"),
+    )
+    entered = [F.coalesce(F.sum(F.when(F.col("state") == s, F.col("entries"))), F.lit(0)).alias(n) for s, n in ENTRIES.items()]
+    whole = by_state.groupBy(*keys).agg(
+        (F.sum("entries") - 1).alias("transition_count"),
+        *entered,
+        F.transform(F.array_sort(F.flatten(F.collect_list("steps"))), lambda x: x["state"]).alias("stage_sequence"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "seconds")))).alias("seconds_by_state"),
+    )
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("observed_samples"))
+    return counted.join(whole, keys, "left").na.fill(0, ["transition_count", *ENTRIES.values()])
+
+
 #: Columns of a finding whose change makes an update; null and empty are the same.
 TOLD = ("severity", "confidence", "title", "summary")
 
@@ -212,7 +249,7 @@ def derived_power(values: DataFrame) -> DataFrame:
             "power": either(reference, reported),
             "source": either(F.lit("charge_output_proxy"), F.lit("controller_reported")),
             "quality": either(F.lit("estimated_from_output"), F.lit("reported_unverified")),
-            "note": either(
+            "note": either(  # fixed values: the labels of source and quality above
                 F.concat(F.lit("reported "), told(reported), F.lit(" against "), told(reference), F.lit(" by "), origin),
                 F.lit("the current behind the reported power is no precision measurement"),
             ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlore.operators import catalog
-from gridlore.plans import docscan, evidence, identity, series, upkeep  # noqa: F401  register their queries
+from gridlore.plans import docscan, evidence, identity, series, timeline, upkeep  # noqa: F401  register their queries
 from gridlore.plans.fleet import QUERIES, SQL
 from gridlore.plans.telemetry import query
 from gridlore.sources import lens

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.functions import frames
 from gridlore.operators import findings, fleet, outlook, site
-from gridlore.plans.telemetry import CHANGES, QUERIES, SQL, E, backtest_errors, float_probability, query
+from gridlore.plans.telemetry import CHANGES, KEPT, QUERIES, SQL, E, backtest_errors, float_probability, query
 from gridlore.sources import archive, lens
 from gridlore.sources.shared import shared_dir
 from gridlore.streaming import live
@@ -238,6 +238,6 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drain(spark, live.changes(streamed(spark, sf_dir), ["device_id"]), shared(spark))
 
 
-@query()
+@query(KEPT)
 def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drain(spark, live.rate_limited(streamed(spark, sf_dir), ["device_id"], 12 * 3600), shared(spark))

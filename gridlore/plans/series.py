@@ -177,9 +177,7 @@ ALIASES = (("ANODIZED", "plated", 1), ("STANDARD", "plain", 2), ("STANDARD ANODI
 @query("WITH a(alias, profile, priority) AS (VALUES " + ", ".join(map(str, ALIASES)) + """)
 SELECT p_partkey, arg_min(profile, (priority, -length(alias), profile)) AS profile FROM part LEFT JOIN a ON contains(p_type, alias) GROUP BY ALL""")
 def profile_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = spark.createDataFrame(list(ALIASES), "alias string, profile string, priority int")
-    texts = lens.table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("text"))
-    return series.longest_alias(texts, aliases, ["p_partkey"])
+    return lens.table(spark, sf_dir, "part").select("p_partkey", series.by_alias(F.col("p_type"), list(ALIASES)).alias("profile"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN epoch_us(ts) // 1000 END AS at_ms FROM events""")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.functions import decoders, text, words
 from gridlore.operators import daily, history, site
+from gridlore.operators.series import day_bounds
 from gridlore.sources import lens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,10 +217,9 @@ def retained_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E}, {R} SELECT rr.device_id, rr.day, count(e.sample_id) AS live FROM rr LEFT JOIN e ON e.device_id = rr.device_id
   AND e.observed_at >= CAST(rr.day AS TIMESTAMP) + INTERVAL 5 HOUR AND e.observed_at < CAST(rr.day AS TIMESTAMP) + INTERVAL 29 HOUR GROUP BY ALL""")
 def retained_range_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live samples in each record's local day, which starts at 05:00 UTC: dealt by the UTC dates that it touches."""
+    """Live samples in each record's local day, in a zone five hours behind UTC: dealt by the UTC dates that it touches."""
     days = daily.newest_records(lens.retained(spark, sf_dir), BY_DEVICE).select("device_id", F.col("controller_day").alias("day"))
-    start = F.expr("CAST(day AS timestamp_ntz) + INTERVAL 5 HOURS")
-    end = F.expr("CAST(day AS timestamp_ntz) + INTERVAL 29 HOURS")
+    start, end = day_bounds(F.col("day"), "Etc/GMT+5")
     touched = days.withColumn("utc_day", F.explode(F.array("day", F.date_add("day", 1))))
     own = lens.samples(spark, sf_dir).select("device_id", "observed_at", F.to_date("observed_at").alias("utc_day"))
     met = touched.join(own, ["device_id", "utc_day"], "left")
@@ -304,7 +304,14 @@ def transition_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("device_id", "observed_at", "previous", "state", severity.alias("severity"))
 
 
-@query()
+KEPT = """WITH RECURSIVE o AS (SELECT user_id AS device_id, ts AS observed_at, event_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT device_id, observed_at, sample_id, n, observed_at AS last, true AS kept FROM o WHERE n = 1
+UNION ALL SELECT o.device_id, o.observed_at, o.sample_id, o.n, CASE WHEN o.observed_at >= f.last + INTERVAL 12 HOUR THEN o.observed_at ELSE f.last END,
+  o.observed_at >= f.last + INTERVAL 12 HOUR FROM f JOIN o ON o.device_id = f.device_id AND o.n = f.n + 1)
+SELECT device_id, observed_at, sample_id FROM f WHERE kept"""
+
+
+@query(KEPT)
 def rate_limited_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.samples(spark, sf_dir).select("device_id", "observed_at", "sample_id")
     return history.rate_limited(rows, BY_DEVICE, 12 * 3600)
