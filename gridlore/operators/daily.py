@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridlore.operators.history import ORDER
+from gridlore.operators.history import ORDER, order_key
 
 
 def live_days(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,18 +19,28 @@ def newest_records(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def day_states(live: DataFrame, records: DataFrame, keys: list[str], start: Column, days: int) -> DataFrame:
-    """A row for each key and day of the period: live, recovered, partial or missing."""
-    every = live.select(*keys).union(records.select(*keys)).distinct()
-    spine = every.withColumn("day", F.explode(F.sequence(start, F.date_add(start, days - 1))))
-    own = newest_records(records, keys).select(*keys, F.col("controller_day").alias("day"), "is_complete", "charge_wh")
-    both = spine.join(live, [*keys, "day"], "left").join(own, [*keys, "day"], "left")
-    state = (
-        F.when(F.coalesce("live", F.lit(0)) > 0, "live")
-        .when(F.col("is_complete"), "recovered")
-        .when(F.col("is_complete").isNotNull(), "partial")
-        .otherwise("missing")
+    """A row for each key and day of the period: live, recovered, partial or missing.
+
+    live has (keys, day, live), rows of a day are added up; records as newest_records takes them.  Both are read once and meet in one aggregate by
+    day; a second one, by key, holds the days of the period that say anything, and the other days are made within its row.  All that
+    follows by key needs no shuffle.
+    """
+    as_long = lambda c: F.col(c).cast("long")
+    place = order_key(records, "retrieved_at", "record_id")
+    told = live.select(*keys, "day", as_long("live").alias("live")).unionByName(
+        records.select(*keys, F.col("controller_day").alias("day"), "is_complete", "charge_wh", place.alias("place")), allowMissingColumns=True
     )
-    return both.select(*keys, "day", F.coalesce("live", F.lit(0).cast("long")).alias("live"), "charge_wh", "is_complete", state.alias("status"))
+    by_day = told.groupBy(*keys, "day").agg(
+        F.coalesce(F.sum("live"), F.lit(0)).alias("live"), F.max_by("is_complete", "place").alias("is_complete"), F.max_by("charge_wh", "place").alias("charge_wh")
+    )
+    inside = (F.col("day") >= start) & (F.col("day") < F.date_add(start, days))
+    entry = F.struct(F.col("day"), F.struct("live", "is_complete", "charge_wh").alias("d"))
+    by_key = by_day.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(inside, entry))).alias("told"))
+    spine = by_key.select(*keys, "told", F.explode(F.sequence(start, F.date_add(start, days - 1))).alias("day"))
+    d = F.try_element_at("told", "day")
+    live_n, complete = F.coalesce(d["live"], F.lit(0).cast("long")), d["is_complete"]
+    state = F.when(live_n > 0, "live").when(complete, "recovered").when(complete.isNotNull(), "partial").otherwise("missing")
+    return spine.select(*keys, "day", live_n.alias("live"), d["charge_wh"].alias("charge_wh"), complete.alias("is_complete"), state.alias("status"))
 
 
 def coverage(states: DataFrame, keys: list[str]) -> DataFrame:

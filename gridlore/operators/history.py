@@ -16,6 +16,19 @@ def at() -> Column:
     return F.struct(*ORDER)
 
 
+def order_key(df: DataFrame, time: str = "observed_at", row: str = "sample_id") -> Column:
+    """The order of (time, row) as one number of fixed width, so that first and last values are hash aggregates; null rows go first.
+
+    Other types than times and whole numbers have their order as a struct, for which Spark sorts.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    if kinds[row] not in ("byte", "short", "integer", "long") or not kinds[time].startswith("timestamp"):
+        return F.struct(time, row)
+    span = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    place = F.coalesce(F.col(row).cast("decimal(20,0)"), F.lit(str(-(1 << 63))).cast("decimal(20,0)"))
+    return F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(18,0)") * span + place
+
+
 def epoch_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
@@ -39,17 +52,18 @@ def bucket(ts: Column, seconds: int) -> Column:
 
 
 def numeric_buckets(df: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    v = F.col("numeric_value")
+    v, place = F.col("numeric_value"), F.col("_place")
     return (
         df.where(v.isNotNull())
+        .withColumn("_place", order_key(df))
         .groupBy(*keys, bucket(F.col("observed_at"), seconds).alias("bucket_start"))
         .agg(
             F.count("*").alias("n"),
             F.min(v).alias("low"),
             F.max(v).alias("high"),
             F.round(F.avg(v), 6).alias("mean"),
-            F.min_by(v, at()).alias("first_value"),
-            F.max_by(v, at()).alias("last_value"),
+            F.min_by(v, place).alias("first_value"),
+            F.max_by(v, place).alias("last_value"),
         )
     )
 

@@ -177,7 +177,7 @@ def daily_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = daily.live_days(lens.samples(spark, sf_dir), BY_DEVICE)
+    live = lens.samples(spark, sf_dir).select("device_id", F.to_date("observed_at").alias("day"), F.lit(1).alias("live"))
     return daily.day_states(live, lens.retained(spark, sf_dir), BY_DEVICE, F.expr("date'2024-01-01'"), 30)
 
 
