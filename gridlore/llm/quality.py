@@ -3,12 +3,19 @@
 One pass over the texts gives each document its counts.  Four signals made of them go into
 mergeable quantile sketches: logarithmic histograms whose buckets are grouped and counted
 by language and source, so that merging is adding counts, in any order and with the same
-result.  Documents that fail the base rules are not in the sketches.  A signal's fence is the
-sketch's tail quantile plus FENCE times the distance from q50 to it, plus one bucket; nothing
-else is set by hand.  The quantiles of a source are drawn toward those of its language and
-those toward the corpus, with the weight of MIN_ROWS documents, so fences move smoothly as a
-group grows.  No fence is above that of the merged sketch it is part of, so a group with much
-junk cannot excuse itself; junk in over a tenth of the whole corpus widens the last fence.
+result.  Documents that fail the base rules are not in the sketches.  Zeros have a bucket of their own.
+
+A signal's fence is found in two ways, and the lower one holds:
+
+* The value that all but RARE of the group's documents stay under.  So a rule costs a group about that share of its documents, whatever their
+  values are.  The quantile of a source is drawn toward that of its language and that toward the corpus, with the weight of
+  MIN_ROWS documents, so fences move smoothly as a group grows.  A source's is not above its language's, so a
+  source with much junk cannot excuse itself; a language may differ from the corpus.
+* The middle of a gap.  Where the values of at most ODD of the documents lie beyond a stretch that is empty by a factor of GAP or more, they are another kind
+  of document.  The stretch begins at one event a document (one symbol, one line) or above, so that a first
+  symbol or repeated line is no gap.  The gap of a language counts, or else that of the corpus.
+
+No fence is a constant.  What is left to the first way is junk in over ODD of a whole language and corpus, or without a gap.
 Verdicts come from joining documents to the fences of their language and source.
 
 Null and empty texts have no words and fail the base rules.  Null languages and sources are
@@ -29,12 +36,16 @@ from gridlore.llm.common import arrow_map, materialise, read_table, row_hash
 MIN_WORDS = 50
 #: Documents that the merged quantiles weigh as much as, beside those of a group.
 MIN_ROWS = 200
-TAIL = 0.9
-FENCE = 4.0
+#: Share of a group that a signal may reject without a gap, share of documents that may lie beyond one, and its factor.
+RARE = 0.005
+ODD = 0.1
+GAP = 8.0
 #: Buckets of a sketch grow by this factor: quantiles are within 1 % of the true value.
 GAMMA = 1.02
-#: Smaller shares count as zero.
-LEAST = 1e-4
+#: Where buckets begin; smaller shares count as zero.
+LEAST = 1e-6
+#: The counts that one event of a signal is a share of, and how many of them it is: a line that stands twice repeats two lines' words.
+WHOLE = {"symbol_share": ("word_chars", 1), "dup_line_share": ("n_lines", 1), "repeat_share": ("n_lines", 2), "upper_share": ("word_chars", 1)}
 SIGNALS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share")
 
 SYMBOLS = np.zeros(256, bool)
@@ -125,60 +136,80 @@ def with_signals(counts: DataFrame) -> DataFrame:
     )
 
 
+def bucket_of(value: Column) -> Column:
+    return F.when(value < LEAST, -1).otherwise(F.floor(F.log(value / LEAST) / F.log(F.lit(GAMMA)))).cast("int")
+
+
+def value_of(bucket: Column) -> Column:
+    return F.when(bucket < 0, 0.0).otherwise(LEAST * F.pow(F.lit(GAMMA), bucket + 0.5))
+
+
+def one_event(signals: DataFrame, signal: str) -> Column:
+    """The share that one event makes in a document; the least share where its counts are not told."""
+    whole, size = WHOLE[signal]
+    if whole not in signals.columns:
+        return F.lit(LEAST)
+    return F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(float(size)), F.col(whole)), F.lit(LEAST)))
+
+
 def sketches(signals: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(by..., signal, bucket, n): log histograms.  Bucket -1 holds values of zero."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in SIGNALS]))
-    long = signals.where("not base_failed").select(*by, pairs.alias("p")).select(*by, "p.signal", "p.value")
-    bucket = F.when(F.col("value") < LEAST, -1).otherwise(F.floor(F.log(F.col("value") / LEAST) / F.log(F.lit(GAMMA))))
-    return long.groupBy(*by, "signal", bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    """(by..., signal, bucket, n, unit): log histograms.  Bucket -1 holds values of zero; unit adds up the buckets of one event."""
+    pairs = [F.struct(F.lit(s).alias("signal"), F.col(s).alias("value"), bucket_of(one_event(signals, s)).alias("unit")) for s in SIGNALS]
+    long = signals.where("not base_failed").select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*")
+    return long.groupBy(*by, "signal", bucket_of(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("unit").cast("long").alias("unit"))
 
 
 def quantiles(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(by..., signal, total, q50, tail) of each group."""
+    """(by..., signal, total, tail, gap) of each group: documents, the value that all but RARE of them stay under, the middle of a gap or null.
+
+    A gap ends at a bucket whose documents and those above are ODD of the group at most; of several the widest counts, the lowest among equals.  One event is in
+    the middle of its buckets.
+    """
     group = Window.partitionBy(*by, "signal")
-    value = F.when(F.col("bucket") < 0, 0.0).otherwise(LEAST * F.pow(F.lit(GAMMA), F.col("bucket") + 0.5))
+    up = group.orderBy("bucket")
     ranked = sketch.select(
         *by,
         "signal",
-        value.alias("value"),
+        "bucket",
         F.sum("n").over(group).alias("total"),
-        F.sum("n").over(group.orderBy("bucket")).alias("upto"),
+        F.sum("n").over(up).alias("upto"),
+        (F.sum("n").over(group) - F.sum("n").over(up) + F.col("n")).alias("beyond"),
+        F.floor(F.sum("unit").over(group) / F.sum("n").over(group)).cast("int").alias("unit"),
+        F.lag("bucket").over(up).alias("before"),
     )
-    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value")))
+    low = F.greatest("before", "unit")
+    width = F.col("bucket") - low
+    wide = (F.col("bucket") >= 0) & (width * F.log(F.lit(GAMMA)) >= F.log(F.lit(GAP))) & (F.col("beyond") <= ODD * F.col("total"))
+    middle = LEAST * F.pow(F.lit(GAMMA), (F.col("bucket") + low) / 2.0 + 0.5)
     return ranked.groupBy(*by, "signal").agg(
-        F.max("total").alias("total"), quantile(0.5).alias("q50"), quantile(TAIL).alias("tail")
+        F.max("total").alias("total"),
+        F.min(F.when(F.col("upto") >= (1 - RARE) * F.col("total"), value_of(F.col("bucket")))).alias("tail"),
+        F.min_by(F.when(wide, middle), F.when(wide, F.struct(-width, "bucket"))).alias("gap"),
     )
 
 
-def fence(q50: Column, tail: Column) -> Column:
-    return F.greatest(tail + FENCE * (tail - q50), F.lit(LEAST)) * GAMMA
-
-
-def drawn(own: str, merged: dict[str, Column], weight: int) -> dict[str, Column]:
-    """Quantiles and fence of a group, drawn toward those of the merged sketch; a group may have no sketch."""
-    n = F.coalesce(F.col(f"{own}.total"), F.lit(0))
-    made = {
-        q: (n * F.coalesce(F.col(f"{own}.{q}"), F.lit(0.0)) + weight * merged[q]) / (n + weight) for q in ("q50", "tail")
-    }
-    return made | {"fence": F.least(fence(made["q50"], made["tail"]), merged["fence"])}
-
-
 def fences(own: DataFrame, groups: DataFrame, lang_col: str, source_col: str, weight: int) -> DataFrame:
     """(fence_lang, fence_source, a fence for each signal) of the groups, from the sketches of sources."""
-    add = lambda by: own.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))  # noqa: E731  sketches merge
+    add = lambda by: own.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"), F.sum("unit").alias("unit"))  # noqa: E731  sketches merge
     same = lambda other, cols: [F.col(f"g.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in (*cols, "signal")]
-    total = quantiles(add(()), ()).select("signal", F.col("q50").alias("all_q50"), F.col("tail").alias("all_tail"))
-    overall = {"q50": F.col("all_q50"), "tail": F.col("all_tail"), "fence": fence(F.col("all_q50"), F.col("all_tail"))}
-    by_lang = drawn("l", overall, weight)
-    by_source = drawn("s", by_lang, weight)
+    total = quantiles(add(()), ()).select("signal", F.col("tail").alias("all_tail"), F.col("gap").alias("all_gap"))
     each = groups.crossJoin(F.broadcast(total))  # four rows
+
+    def drawn(of: str, merged: Column) -> Column:
+        """The tail of a group, drawn toward that of the merged sketch; a group may have no sketch."""
+        n = F.coalesce(F.col(f"{of}.total"), F.lit(0))
+        return (n * F.coalesce(F.col(f"{of}.tail"), F.lit(0.0)) + weight * merged) / (n + weight)
+
+    of_lang = drawn("l", F.col("all_tail"))
+    of_source = F.least(drawn("s", of_lang), of_lang) * GAMMA
+    gap = F.coalesce("l.gap", "all_gap")
     return (
         each.alias("g")
         .join(quantiles(add((lang_col,)), (lang_col,)).alias("l"), same("l", (lang_col,)), "left")
         .join(quantiles(own, (lang_col, source_col)).alias("s"), same("s", (lang_col, source_col)), "left")
         .groupBy(F.col(f"g.{lang_col}").alias("fence_lang"), F.col(f"g.{source_col}").alias("fence_source"))
         .pivot("g.signal", list(SIGNALS))
-        .agg(F.first(by_source["fence"]))
+        .agg(F.first(F.least(of_source, gap)))
         .select("fence_lang", "fence_source", *[F.col(n).alias(f"{n}_fence") for n in SIGNALS])
     )
 

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import math
 import random
 import re
 import sys
@@ -272,6 +273,65 @@ def test_a_source_of_junk_cannot_excuse_itself(spark, size):
     assert {(r.value, r.kept): r["count"] for r in told} == {(0.0, True): 4000 + size - junk, (0.36, False): junk}
 
 
+def fenced(rows, weight):
+    """Fences by (lang, source, signal), from rows of (lang, source, four signals, four units), with plain lists."""
+    g, least = quality.GAMMA, quality.LEAST
+    bucket = lambda v: -1 if v < least else math.floor(math.log(v / least) / math.log(g))
+
+    def told(chosen, n):
+        held = sorted(bucket(r[2 + n]) for r in chosen)
+        unit = math.floor(sum(bucket(r[6 + n]) for r in chosen) / len(chosen))
+        tail = held[math.ceil((1 - quality.RARE) * len(held)) - 1]
+        tail = 0.0 if tail < 0 else least * g ** (tail + 0.5)
+        steps = sorted(set(held))
+        found = []
+        for before, b in zip([-1, *steps], steps, strict=False):
+            low = max(unit, before)
+            if b >= 0 and (b - low) * math.log(g) >= math.log(quality.GAP) and sum(h >= b for h in held) <= quality.ODD * len(held):
+                found.append((low - b, b, least * g ** ((b + low) / 2 + 0.5)))
+        return len(held), tail, min(found)[2] if found else None
+
+    out = {}
+    for lang, source in {r[:2] for r in rows}:
+        for n, signal in enumerate(quality.SIGNALS):
+            _, all_tail, all_gap = told(rows, n)
+            count, tail, gap = told([r for r in rows if r[0] == lang], n)
+            of_lang = (count * tail + weight * all_tail) / (count + weight)
+            count, tail, _ = told([r for r in rows if r[:2] == (lang, source)], n)
+            fence = min((count * tail + weight * of_lang) / (count + weight), of_lang) * g
+            gap = all_gap if gap is None else gap
+            out[lang, source, signal] = fence if gap is None else min(fence, gap)
+    return out
+
+
+def test_fences_and_verdicts_by_brute_force(spark):
+    random.seed(11)
+    rows = []
+    for n in range(900):
+        lang, source = random.choice(["en", "en", "de", None]), random.choice(["x", "y", None])
+        sizes = [random.randint(50, 900) for _ in range(4)]
+        junk = random.random() < 0.05
+        values = (random.uniform(0.1, 0.4) if junk else random.choice([0, 0, 0, 1]) / sizes[0], random.choice([0, 0, 1, 2]) / sizes[1], random.expovariate(40), random.uniform(0, 0.03 if lang == "de" else 0.01))
+        rows.append((lang, source, *map(float, values), *[1 / s for s in (sizes[0], sizes[1], sizes[1] / 2, sizes[0])], *sizes))
+    kind = ", ".join(["lang string, source string", *[f"{s} double" for s in quality.SIGNALS], *[f"u{n} double" for n in range(4)], "word_chars long, n_lines long, n_words long, other long"])
+    made = spark.createDataFrame(rows, kind).selectExpr("*", "false AS base_failed", "monotonically_increasing_id() AS id")
+    told = fenced(rows, 50)
+    assert len({round(v, 9) for (*_, s), v in told.items() if s == "symbol_share"}) > 1
+    for r in quality.judge(made, min_rows=50).collect():
+        for s in quality.SIGNALS:
+            assert abs(r[f"{s}_fence"] - told[r.lang, r.source, s]) <= 1e-9 * told[r.lang, r.source, s] + 1e-15
+        assert r.kept == all(r[s] <= r[f"{s}_fence"] for s in quality.SIGNALS)
+
+
+def test_one_event_in_a_long_text_is_no_reason(spark):
+    random.seed(12)
+    line = lambda: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(20))
+    texts = ["\n".join(line() for _ in range(50)) for _ in range(80)]
+    texts += [texts[0].replace(" ", " % ", 1), texts[1] + "\n" + texts[1].split("\n")[7], texts[2].replace(" ", " $$$$$ ", 300)]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs(spark, texts)).collect()}
+    assert [d for d, k in kept.items() if not k] == [82]
+
+
 # op6
 
 
