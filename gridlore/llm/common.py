@@ -118,7 +118,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     starts_at[offsets] = True
     opens = np.flatnonzero((edge == 1) & ((before == 0) | starts_at))
     closes = np.flatnonzero((before == 1) & ((edge == 0) | starts_at))
-    rows = np.searchsorted(offsets, opens, side="right") - 1
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(opens, offsets)))
     return opens, closes, rows
 
 

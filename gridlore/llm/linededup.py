@@ -613,42 +613,48 @@ def near_links(docs: DataFrame, limits: Limits = LIMITS, paired: int = PAIRED_RO
 # classes and removal
 
 
+PLACE = "decimal(38,0)"
+
+
+def place_of(doc: np.ndarray, line_no: np.ndarray) -> pa.Array:
+    """(doc, line number) as one number in the same order: 128 bits, the low 32 of them the line."""
+    raw = np.empty((len(doc), 2), np.int64)
+    raw[:, 0] = (doc << np.int64(32)) | line_no
+    raw[:, 1] = doc >> np.int64(32)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc), [None, pa.py_buffer(raw.tobytes())])
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, h1, h2) of every line with a word."""
+    """(doc, line_no, place, h1, h2) of every line with a word."""
 
     def run(part: pa.RecordBatch) -> dict:
-        doc, number, h1, h2 = [], [], [], []
+        doc, number, hashes = [], [], []
         for d, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
             for n, line in enumerate(lines_of(text)):
                 if has_word(line):
-                    x, y = line_hash(line.encode("utf-8", "surrogatepass"))
+                    hashes.append(line_hash(line.encode("utf-8", "surrogatepass")))
                     doc.append(d)
                     number.append(n)
-                    h1.append(x)
-                    h2.append(y)
-        as_long = lambda v: pa.array(v, pa.int64())
-        return {"doc": as_long(doc), "line_no": pa.array(number, pa.int32()), "h1": as_long(h1), "h2": as_long(h2)}
+        both = np.array(hashes, np.int64).reshape(-1, 2)
+        docs, numbers = np.array(doc, np.int64), np.array(number, np.int64)
+        return {"doc": docs, "line_no": numbers.astype(np.int32), "place": place_of(docs, numbers), "h1": both[:, 0], "h2": both[:, 1]}
 
-    return arrow_map(docs.select("doc", "text"), run, "doc long, line_no int, h1 long, h2 long", "text")
+    return arrow_map(docs.select("doc", "text"), run, f"doc long, line_no int, place {PLACE}, h1 long, h2 long", "text")
 
 
 def duplicate_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(doc, line_no, h1, first_doc, near): lines that are not the first of their class."""
     with shuffles_cleaned(docs.sparkSession):
-        spots = occurrences(docs)
-        place = F.struct("doc", "line_no")
-        lines = materialise(
-            spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        )
+        spots = materialise(occurrences(docs))
+        lines = materialise(spots.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
         roots = connected_components(near_links(docs, limits))
     classed = lines.withColumn("line", F.expr("h1 & -2L")).join(roots, F.col("line") == F.col("node"), "left")
     firsts = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("class_first"))
     linked = classed.where("root is not null").join(firsts, "root").select("h1", "h2", F.col("class_first").alias("winner"), "first", "n")
     alone = classed.where("root is null").select("h1", "h2", F.col("first").alias("winner"), "first", "n")
-    repeated = linked.union(alone).where("n > 1 or winner <> first")
-    return spots.join(repeated, ["h1", "h2"]).where(place != F.col("winner")).select(
-        "doc", "line_no", "h1", F.col("winner.doc").alias("first_doc"), (F.col("winner") != F.col("first")).alias("near")
-    )
+    first_doc = F.expr(f"CAST((winner - pmod(winner, {1 << 32}BD)) div {1 << 32}BD AS LONG)")
+    repeated = linked.union(alone).where("n > 1 or winner <> first").select("h1", "h2", "winner", first_doc.alias("first_doc"), (F.col("winner") != F.col("first")).alias("near"))
+    return spots.join(repeated, ["h1", "h2"]).where("place <> winner").select("doc", "line_no", "h1", "first_doc", "near")
 
 
 NULL_DOC = -(1 << 63)
@@ -669,19 +675,19 @@ def dedup_lines(
     docs = df.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
     drops = (
         duplicate_lines(docs, limits)
-        .distinct()
         .groupBy("doc")
         .agg(
-            F.collect_list(F.struct("line_no", "h1", "near")).alias("drops"),
+            F.collect_set(F.struct("line_no", "h1", "near")).alias("drops"),
             F.array_sort(F.collect_set(F.when(F.col("first_doc") != NULL_DOC, F.col("first_doc")))).alias("first_docs"),
         )
     )
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), doc.alias("doc"))
+    rest = [c for c in df.columns if c != text_col]
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("row"), F.col(text_col).cast("string").alias("text"), doc.alias("doc"))
     joined = whole.join(drops, "doc", "left")
     schema = whole.select("row").schema.simpleString()[len("struct<row:") : -1]
     work = joined.select(
         "row",
-        F.col(f"row.`{text_col}`").cast("string").alias("text"),
+        "text",
         F.coalesce("drops", F.array().cast("array<struct<line_no:int,h1:bigint,near:boolean>>")).alias("drops"),
         F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),
     )

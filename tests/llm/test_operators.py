@@ -493,3 +493,26 @@ def test_join_by_count_is_a_join(spark, monkeypatch, often):
     got = sorted(map(tuple, common.join_by_count(rows, table, "k").select("k", "id", "last").collect()))
     assert got == sorted(map(tuple, rows.join(table.drop("n"), "k").select("k", "id", "last").collect()))
     assert common.join_by_count(rows.where("false"), table.where("false"), "k").count() == 0
+
+
+def test_places_are_in_the_order_of_documents_and_lines(spark, empty):
+    random.seed(13)
+    ends = [0, 1, -1, 5, (1 << 63) - 1, linededup.NULL_DOC]
+    told = [(d, n) for d in [*ends, *(random.randrange(-(1 << 62), 1 << 62) for _ in range(20))] for n in (0, 1, 7, (1 << 31) - 1)]
+    docs_, numbers = (np.array(x, np.int64) for x in zip(*told, strict=True))
+    assert [int(p) for p in linededup.place_of(docs_, numbers).to_pylist()] == [d * (1 << 32) + n for d, n in told]
+
+
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    one, two = "the first line is here", "another line stands here"
+    rows = [(None, f"{one}\n{two}", 1, "a"), (None, two, 2, "b"), (3, f"{two}\nonly here", 3, "c"), (3, f"{two}\nonly here", 3, "c"), (-5, one, 4, "d"), ((1 << 63) - 1, f"{one}\n\n{one}", 5, "e")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, doc long, row string")
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.text, r.row, r.line_dedup.n_removed, r.line_dedup.first_docs) for r in linededup.dedup_lines(made).collect())
+    assert got == [
+        ((False, 0), two, "b", 0, []),
+        ((False, 0), one, "a", 1, []),
+        ((True, -5), "", "d", 1, []),
+        ((True, 3), "only here", "c", 1, []),
+        ((True, 3), "only here", "c", 1, []),
+        ((True, (1 << 63) - 1), "", "e", 2, []),
+    ]
