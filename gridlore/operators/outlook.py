@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridlore.operators.history import bucket
+
 #: Watts from which a slot of the day counts as productive.
 PRODUCTIVE = 25.0
 
@@ -53,6 +55,80 @@ def error_metrics(errors: DataFrame, keys: list[str], newest: int = 14) -> DataF
     )
 
 
+def interval_coverage(days: DataFrame, keys: list[str], newest: int = 14, least: int = 5) -> DataFrame:
+    """Share of each key's newest days that lie inside their band, and whether there are enough days to say so."""
+    late = Window.partitionBy(*keys).orderBy(F.desc("day"))
+    chosen = days.withColumn("n", F.row_number().over(late)).where(F.col("n") <= newest)
+    return chosen.groupBy(*keys).agg(
+        F.count("*").alias("days"),
+        F.round(F.count_if("inside") / F.count("*"), 6).alias("coverage"),
+        F.when(F.count("*") >= least, "ready").otherwise("insufficient_evidence").alias("status"),
+    )
+
+
+def curve_energy(samples: DataFrame, keys: list[str], seconds: int = 900, least: int = 2) -> DataFrame:
+    """Energy of each key and day from the means of its slots, negative ones as zero; days with too few slots are left out."""
+    slots = samples.groupBy(*keys, F.to_date("observed_at").alias("day"), bucket(F.col("observed_at"), seconds).alias("slot")).agg(F.avg("numeric_value").alias("value"))
+    watt_hours = F.sum(F.greatest("value", F.lit(0.0)) * (seconds / 3600))
+    return slots.groupBy(*keys, "day").agg(F.count("*").alias("slots"), F.round(watt_hours, 6).alias("energy")).where(F.col("slots") >= least)
+
+
+def minute_of_day(time: Column) -> Column:
+    return (F.hour(time) * 60 + F.minute(time)).cast("long")
+
+
+def state_days(samples: DataFrame, keys: list[str], state: str, least: int = 3) -> DataFrame:
+    """(keys, day, minute): days with enough samples, and the first minute at which a state was seen, or null."""
+    seen = F.min(F.when(F.col("state") == state, minute_of_day(F.col("observed_at"))))
+    return samples.groupBy(*keys, F.to_date("observed_at").alias("day")).agg(F.count("*").alias("n"), seen.alias("minute")).where(F.col("n") >= least).drop("n")
+
+
+def state_probability(days: DataFrame, keys: list[str]) -> DataFrame:
+    """On how many of the days a state was reached, and when as a rule."""
+    return days.groupBy(*keys).agg(
+        F.count("*").alias("observed_days"),
+        F.count("minute").alias("float_days"),
+        F.round(F.count("minute") / F.count("*"), 6).alias("probability"),
+        F.round(F.median("minute"), 6).alias("median_minute"),
+    )
+
+
+def baseline(samples: DataFrame, keys: list[str], minute: int, within: int = 45) -> DataFrame:
+    """Percentiles over days of the mean within some minutes of a time of day."""
+    near = F.abs(minute_of_day(F.col("observed_at")) - minute) <= within
+    means = samples.where(near).groupBy(*keys, F.to_date("observed_at").alias("day")).agg(F.avg("numeric_value").alias("mean"))
+    q = F.percentile("mean", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return means.groupBy(*keys).agg(F.count("*").alias("days"), q.alias("q")).select(
+        *keys, "days", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))]
+    )
+
+
+#: What follows from the powers of a site: the formula of each value, as text and as the inputs it needs.
+FLOWS = {"net": ("solar - load", ("solar", "load")), "unaccounted": ("solar - load - battery", ("solar", "load", "battery"))}
+
+
+def power_flow(wide: DataFrame) -> DataFrame:
+    """Adds what follows from solar, load and battery power, null where an input is missing."""
+    return wide.withColumns({name: F.round(F.expr(formula), 6) for name, (formula, _) in FLOWS.items()})
+
+
+def flow_payload(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, value, status, formula, missing): a row for each value, and which inputs it lacks."""
+    rows = []
+    for name, (formula, inputs) in FLOWS.items():
+        lacks = F.filter(F.array(*[F.when(F.col(i).isNull(), i) for i in inputs]), lambda x: x.isNotNull())
+        rows.append(
+            F.struct(
+                F.lit(name).alias("name"),
+                F.round(F.expr(formula), 6).alias("value"),
+                F.when(F.size(lacks) == 0, "complete").otherwise("unavailable").alias("status"),
+                F.lit(formula).alias("formula"),
+                F.array_join(lacks, ",").alias("missing"),
+            )
+        )
+    return wide.select(*keys, F.inline(F.array(*rows)))
+
+
 def site_charge(by_controller: DataFrame, keys: list[str]) -> DataFrame:
     """A site is charged when its slowest controller is: least probability, latest minute."""
     return by_controller.groupBy(*keys).agg(

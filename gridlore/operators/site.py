@@ -64,6 +64,27 @@ def walk_forward(daily: DataFrame, keys: list[str], days: int = 28, least: int =
     )
 
 
+def walk_forward_bands(daily: DataFrame, keys: list[str], days: int = 28, least: int = 5) -> DataFrame:
+    """Each day against the tenth and ninetieth percentile of the rows before it: low, high, and whether it lies between.
+
+    A day's past is an array of ``days`` values at the most, whatever the length of the series; its percentiles lie between ranks.
+    """
+    past = Window.partitionBy(*keys).orderBy("day").rowsBetween(-days, -1)
+
+    def quantile(q: float) -> Column:
+        place = (F.size("past") - 1) * F.lit(q)
+        at = lambda n: F.element_at("past", n.cast("int") + 1)
+        return at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * (place - F.floor(place))
+
+    return (
+        daily.withColumn("past", F.array_sort(F.collect_list("energy").over(past)))
+        .where(F.size("past") >= least)
+        .withColumns({"low": quantile(0.1), "high": quantile(0.9)})
+        .withColumn("inside", F.col("energy").between(F.col("low"), F.col("high")))
+        .drop("past")
+    )
+
+
 def durations(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """Seconds in each state, credited to the earlier of two samples unless they are too far apart; and entries."""
     series = Window.partitionBy(*keys).orderBy("observed_at", "sample_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.functions import frames
-from gridlore.operators import findings, fleet, outlook, site
+from gridlore.operators import findings, fleet, gates, outlook, site
 from gridlore.plans.telemetry import CHANGES, KEPT, QUERIES, SQL, E, backtest_errors, float_probability, query
 from gridlore.sources import archive, lens
 from gridlore.sources.shared import shared_dir
@@ -175,6 +175,43 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlook.error_metrics(backtest_errors(spark, sf_dir), ["system_id"])
 
 
+@query("""WITH d AS (SELECT user_id % 5 AS system_id, CAST(ts AS DATE) AS day, round(sum(value), 6) AS energy FROM events GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY day) AS i FROM d),
+f AS (SELECT a.system_id, a.day, a.energy, quantile_cont(b.energy, 0.1) AS low, quantile_cont(b.energy, 0.9) AS high, count(*) AS past FROM n a JOIN n b ON a.system_id = b.system_id AND b.i < a.i AND b.i >= a.i - 28 GROUP BY ALL),
+r AS (SELECT * FROM f WHERE past >= 5 QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY day DESC) <= 14)
+SELECT system_id, count(*) AS days, round(count(*) FILTER (energy BETWEEN low AND high) / count(*), 6) AS coverage,
+  CASE WHEN count(*) >= 5 THEN 'ready' ELSE 'insufficient_evidence' END AS status FROM r GROUP BY system_id""")
+def backtest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = lens.samples(spark, sf_dir).groupBy(F.expr("device_id % 5").alias("system_id"), F.to_date("observed_at").alias("day")).agg(
+        F.round(F.sum("numeric_value"), 6).alias("energy")
+    )
+    return outlook.interval_coverage(site.walk_forward_bands(daily, ["system_id"]), ["system_id"])
+
+
+#: orders as changes, a priority of the table as the kind of path; each change may bring a proposal.
+PATH = "CASE o_orderkey % 4 WHEN 0 THEN 'catalog/registers.json' WHEN 1 THEN concat('proposals/p', o_orderkey, '.json') WHEN 2 THEN 'tests/test_x.py' ELSE 'docs/readme' END"
+CONTENT = """CASE o_orderkey % 5 WHEN 0 THEN '{' WHEN 1 THEN '{"source_id": " ", "changes": []}'
+  ELSE concat('{"source_id": "s", "source_sha256": "', sha256(CAST(o_orderkey AS {text})), '", "affected_profiles": ["p"], "changes": [1], "tests": ["t"]}') END"""
+
+
+@query(f"""WITH c AS (SELECT DISTINCT o_custkey AS change_id, {PATH} AS path, o_orderkey % 4 AS kind, o_orderkey % 5 AS whole FROM orders),
+w AS (SELECT change_id, path, kind, CASE WHEN kind = 1 THEN CASE whole WHEN 0 THEN ['invalid proposal JSON'] WHEN 1 THEN ['missing required key(s): affected_profiles, source_sha256, tests',
+  'source_id must be non-empty', 'source_sha256 must be a 64-character SHA-256 digest', 'affected_profiles must be a non-empty list', 'changes must be a non-empty list', 'tests must be a non-empty list']
+  WHEN 4 THEN ['invalid proposal JSON'] ELSE [] END ELSE [] END AS wrong FROM c),
+g AS (SELECT change_id, max(kind = 0) AS touched, max(kind = 1) AS proposed, max(kind = 2) AS tested,
+  list_sort(flatten(list(list_transform(wrong, lambda x: path || ': ' || x)))) AS wrong FROM w GROUP BY change_id)
+SELECT change_id, CASE WHEN touched THEN array_to_string(list_concat(list_filter([CASE WHEN NOT proposed THEN 'changes of the catalog or its sources need a reviewed proposal' END,
+  CASE WHEN NOT tested THEN 'changes of the catalog or its sources need a change of the tests' END], lambda x: x IS NOT NULL), wrong), '; ') ELSE '' END AS errors FROM g""")
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of each change; proposals of some are not there."""
+    rows = orders(spark, sf_dir)
+    changes = rows.selectExpr("o_custkey AS change_id", f"{PATH} AS path").distinct()
+    content = CONTENT.replace("sha256(CAST(o_orderkey AS {text}))", "sha2(CAST(o_orderkey AS STRING), 256)")
+    proposals = rows.where("o_orderkey % 4 = 1 AND o_orderkey % 5 < 4").selectExpr(f"{PATH} AS path", f"{content} AS content")
+    found = gates.review(changes, proposals, ("catalog/",), "proposals/", "tests/")
+    return found.withColumn("errors", F.array_join("errors", "; "))
+
+
 @query(f"""WITH q AS ({SQL["float_probability"]}) SELECT system_id % 2 AS site_id, min(probability) AS probability, max(median_minute) AS minute,
   count(*) AS controllers FROM q GROUP BY ALL""")
 def site_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +252,10 @@ def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.manifest(lens.samples(spark, sf_dir)).drop("digest")
 
 
-@query()
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, (l_partkey * 7919) % 65536 AS w0, (l_suppkey * 104729 + l_linenumber) % 65536 AS w1 FROM lineitem),
+b AS (SELECT l_orderkey, l_linenumber, [65535, w0 >> 8, w0 & 255, w1 >> 8, w1 & 255] AS bytes FROM w)
+SELECT l_orderkey, l_linenumber, CAST(list_reduce(bytes, lambda crc, byte: list_reduce([xor(crc, byte), 1, 2, 3, 4, 5, 6, 7, 8],
+  lambda x, turn: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 40961) ELSE x >> 1 END)) AS INTEGER) AS crc FROM b""")
 def frame_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = frames.word_bytes(F.col("w0"), F.col("w1"))
     return lens.words(spark, sf_dir).select("l_orderkey", "l_linenumber", frames.crc16(data).alias("crc"))

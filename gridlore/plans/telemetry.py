@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.functions import decoders, text, words
-from gridlore.operators import daily, history, site
+from gridlore.operators import daily, history, outlook, site
 from gridlore.operators.series import day_bounds
 from gridlore.sources import lens
 
@@ -386,14 +386,7 @@ def solar_curve_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E}, b AS (SELECT device_id, CAST(observed_at AS DATE) AS day, sec // 900 AS slot, avg(numeric_value) AS value FROM e GROUP BY ALL)
 SELECT device_id, day, count(*) AS slots, round(sum(greatest(value, 0) * 0.25), 6) AS energy FROM b GROUP BY ALL HAVING count(*) >= 2""")
 def daily_curve_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = lens.samples(spark, sf_dir).groupBy(
-        "device_id", F.to_date("observed_at").alias("day"), history.bucket(F.col("observed_at"), 900).alias("slot")
-    ).agg(F.avg("numeric_value").alias("value"))
-    return (
-        slots.groupBy("device_id", "day")
-        .agg(F.count("*").alias("slots"), F.round(F.sum(F.greatest("value", F.lit(0.0)) * 0.25), 6).alias("energy"))
-        .where("slots >= 2")
-    )
+    return outlook.curve_energy(lens.samples(spark, sf_dir), BY_DEVICE)
 
 
 @query("""WITH d AS (SELECT user_id % 5 AS system_id, CAST(ts AS DATE) AS day, round(sum(value), 6) AS energy FROM events GROUP BY ALL),
@@ -414,19 +407,8 @@ def backtest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT system_id, count(*) AS observed_days, count(minute_) AS float_days, round(count(minute_) / count(*), 6) AS probability,
   round(median(minute_), 6) AS median_minute FROM d GROUP BY ALL""")
 def float_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minute = (F.hour("observed_at") * 60 + F.minute("observed_at")).cast("long")
-    days = (
-        lens.samples(spark, sf_dir)
-        .groupBy(F.expr("device_id % 5").alias("system_id"), F.to_date("observed_at").alias("day"))
-        .agg(F.count("*").alias("n"), F.min(F.when(F.col("state") == "purchase", minute)).alias("minute"))
-        .where("n >= 3")
-    )
-    return days.groupBy("system_id").agg(
-        F.count("*").alias("observed_days"),
-        F.count("minute").alias("float_days"),
-        F.round(F.count("minute") / F.count("*"), 6).alias("probability"),
-        F.round(F.median("minute"), 6).alias("median_minute"),
-    )
+    rows = lens.samples(spark, sf_dir).withColumn("system_id", F.expr("device_id % 5"))
+    return outlook.state_probability(outlook.state_days(rows, ["system_id"], "purchase"), ["system_id"])
 
 
 @query(f"""WITH {E}, m AS (SELECT device_id % 5 AS system_id, CAST(observed_at AS DATE) AS day, avg(numeric_value) AS mean FROM e
@@ -435,14 +417,7 @@ SELECT system_id, count(*) AS days, round(quantile_cont(mean, 0.1), 6) AS low, r
   round(quantile_cont(mean, 0.9), 6) AS high FROM m GROUP BY ALL""")
 def baseline_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of each day within 45 minutes of noon, and their percentiles over days."""
-    minute = F.hour("observed_at") * 60 + F.minute("observed_at")
-    means = lens.samples(spark, sf_dir).where(F.abs(minute - 720) <= 45).groupBy(
-        F.expr("device_id % 5").alias("system_id"), F.to_date("observed_at").alias("day")
-    ).agg(F.avg("numeric_value").alias("mean"))
-    q = F.percentile("mean", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return means.groupBy("system_id").agg(F.count("*").alias("days"), q.alias("q")).select(
-        "system_id", "days", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))]
-    )
+    return outlook.baseline(lens.samples(spark, sf_dir).withColumn("system_id", F.expr("device_id % 5")), ["system_id"], 720)
 
 
 @query(f"""WITH {E}, s AS (SELECT device_id, state, lead(sec) {SERIES} - sec AS after, lag(state) {SERIES} AS before FROM e)
@@ -770,15 +745,24 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT controller_id, solar, load, battery, round(solar - load, 6) AS net, round(solar - load - battery, 6) AS unaccounted FROM p""")
 def power_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics side by side and what follows from them; null where an input is missing."""
+    return outlook.power_flow(powers(spark, sf_dir))
+
+
+def powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name: F.max(F.when(F.col("register_name") == name, F.col("numeric_value")))
-    wide = lens.samples(spark, sf_dir).groupBy("controller_id").agg(
-        of("purchase").alias("solar"), of("click").alias("load"), of("view").alias("battery")
-    )
-    return wide.select(
-        "*",
-        F.round(F.col("solar") - F.col("load"), 6).alias("net"),
-        F.round(F.col("solar") - F.col("load") - F.col("battery"), 6).alias("unaccounted"),
-    )
+    return lens.samples(spark, sf_dir).groupBy("controller_id").agg(of("purchase").alias("solar"), of("click").alias("load"), of("view").alias("battery"))
+
+
+@query(f"""WITH {E}, p AS (SELECT controller_id, max(CASE WHEN register_name = 'purchase' AND controller_id % 3 > 0 THEN numeric_value END) AS solar,
+  max(CASE WHEN register_name = 'click' THEN numeric_value END) AS load, max(CASE WHEN register_name = 'view' AND controller_id % 2 > 0 THEN numeric_value END) AS battery FROM e GROUP BY ALL)
+SELECT controller_id, 'net' AS name, round(solar - load, 6) AS value, CASE WHEN solar IS NULL OR load IS NULL THEN 'unavailable' ELSE 'complete' END AS status, 'solar - load' AS formula,
+  concat_ws(',', CASE WHEN solar IS NULL THEN 'solar' END, CASE WHEN load IS NULL THEN 'load' END) AS missing FROM p
+UNION ALL SELECT controller_id, 'unaccounted', round(solar - load - battery, 6), CASE WHEN solar IS NULL OR load IS NULL OR battery IS NULL THEN 'unavailable' ELSE 'complete' END, 'solar - load - battery',
+  concat_ws(',', CASE WHEN solar IS NULL THEN 'solar' END, CASE WHEN load IS NULL THEN 'load' END, CASE WHEN battery IS NULL THEN 'battery' END) FROM p""")
+def power_flow_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived powers with their formulas and the inputs that they lack; some controllers report no solar or battery power."""
+    wide = powers(spark, sf_dir).withColumns({"solar": F.when(F.col("controller_id") % 3 > 0, F.col("solar")), "battery": F.when(F.col("controller_id") % 2 > 0, F.col("battery"))})
+    return outlook.flow_payload(wide, ["controller_id"])
 
 
 @query("""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
