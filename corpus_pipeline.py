@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each a pass over what the one before kept.
 
 Rows that share an id and a text are one document.  All stages but the last return the
-columns that they were given.
+columns that they were given, whatever their names.  Null ids are kept, null texts are texts without words; the
+quality rules reject them, line dedup drops only texts whose lines are all removed, one text of each group without words stays in the near-dedup, and they have no
+benchmark window and no token.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
