@@ -9,8 +9,8 @@ cost of a byte is a function of ORDER + 1 bytes, and code lengths are exact sums
 language with the shortest code wins; ties go to the first name in alphabetical order.
 
 Training counts come from a sample of labelled rows: about SAMPLE_ROWS a language, chosen
-by a hash of the id.  A model has at most MODEL_ENTRIES (context, byte) pairs over all
-languages, the most frequent ones.  ASCII letters are folded to lower case.
+by a hash of the id, fewer where the model would have more than MODEL_CELLS cells.  All
+(context, byte) pairs of the sample are kept.  ASCII letters are folded to lower case.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when
 nothing could be learned.  Rows with a null language or id are never learned from.  Empty
@@ -22,13 +22,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridlore.llm.common import arrow_map, read_table, text_bytes
+from gridlore.llm.common import arrow_map, materialise, read_table, text_bytes
 
 ORDER = 3
 SAMPLE_ROWS = 3000
-MODEL_ENTRIES = 1 << 20
+#: Cells (context and byte, language) of the model, which is broadcast; all pairs of the sample are kept, and the sample is halved until they fit.
+MODEL_CELLS = 1 << 25
 LETTER = regex.compile(r"\p{L}")
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -168,11 +169,6 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     if not sizes:
         return None
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_rows / n)))])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col(lang_col).cast("string")]).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    )
 
     def count(part: pa.RecordBatch):
         langs = np.array(part.column("lang").to_pylist(), dtype=object)
@@ -181,11 +177,20 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
             keys, n = np.unique(codes, return_counts=True)
             yield {"lang": pa.array([lang] * len(keys), pa.string()), "code": keys.astype(np.int64), "n": n.astype(np.int64)}
 
-    counted = arrow_map(sample, count, "lang string, code long, n long", "text", 4 << 20)
-    summed = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    most = max(256, MODEL_ENTRIES // len(sizes))
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    table = summed.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= most).toArrow()
+    def counted(most: int) -> DataFrame:
+        share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, most / n)))])
+        draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+        sample = rows.where(draw < share[F.col(lang_col).cast("string")]).select(
+            F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+        )
+        each = arrow_map(sample, count, "lang string, code long, n long", "text", 4 << 20)
+        return materialise(each.groupBy("lang", "code").agg(F.sum("n").alias("n")))
+
+    summed = counted(sample_rows)
+    while summed.select("code").distinct().count() * len(sizes) > MODEL_CELLS and sample_rows > 1:
+        sample_rows //= 2
+        summed = counted(sample_rows)
+    table = summed.toArrow()  # at most MODEL_CELLS
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     codes, n = np.asarray(table.column("code")), np.asarray(table.column("n")).astype(float)
     entries = {lang: (codes[langs == lang], n[langs == lang]) for lang in set(langs)}

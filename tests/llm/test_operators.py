@@ -454,6 +454,21 @@ def test_languages_are_told_apart(spark, empty):
     assert {r.lang_pred for r in langid.predict(docs(spark, EDGES), None).collect()} == {"und"}
 
 
+def test_the_sample_shrinks_until_the_model_fits(spark, monkeypatch):
+    random.seed(14)
+    rows = [(n, "".join(random.choices("abcdefghij ", k=300)), ["aa", "bb"][n % 2]) for n in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.train(table, "doc_id", "text", "lang")
+    monkeypatch.setattr(langid, "MODEL_CELLS", 4_000)
+    less = langid.train(table, "doc_id", "text", "lang")
+    assert less.langs == whole.langs and less.costs.size <= 4_000 + 2 < whole.costs.size
+    with monkeypatch.context() as m:
+        calls = []
+        m.setattr(langid, "materialise", lambda df, real=langid.materialise: calls.append(1) or real(df))
+        langid.train(table, "doc_id", "text", "lang")
+        assert len(calls) > 1  # the first sample did not fit
+
+
 # op10
 
 
