@@ -373,7 +373,8 @@ def pair_values(groups: DataFrame, counts: DataFrame, shards: DataFrame, sources
         return pa.table({"lang": lang, "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "value": np.concatenate(value) if value else np.zeros(0, np.int64)})
 
     found = dealt.groupBy("lang", "shard", "low", "high").applyInArrow(compare, "lang string, a string, b string, value long")
-    summed = found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    # rows of a group come in any order, so shards may name a pair either way round
+    summed = found.groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("w")
     return summed.select("lang", "value", ways).select("lang", "w.source", "w.item", "value")
 
@@ -430,7 +431,9 @@ def divergence(
     texts = named(docs, text_col, lang_col, source_col)
     shards = materialise(shards_of(materialise(kept_terms(texts, least_docs)), shard_terms))
     sizes = shards.groupBy("lang").agg(
-        F.count("*").cast("int").alias("n_shards"), F.sum("size").cast("long").alias("n_terms"), F.sum(F.length("keys") + F.length("key_ends") + F.length("pilots")).alias("n_bytes")
+        F.ceil(F.sum("size") / shard_terms).cast("int").alias("n_shards"),  # as shards_of deals, empty ones too
+        F.sum("size").cast("long").alias("n_terms"),
+        F.sum(F.length("keys") + F.length("key_ends") + F.length("pilots")).alias("n_bytes"),
     )
     langs = sizes.collect()  # a row a language with kept terms
     n_shards = {r.lang: r.n_shards for r in langs}

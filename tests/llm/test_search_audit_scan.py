@@ -153,6 +153,22 @@ def test_divergence_equals_counting(spark, given):
     assert {("c", "only"), ("b", "")} & {(r[0], r[1]) for r in got} == {("b", "")}  # a single source of a language has no pair and no term above its language
 
 
+@pytest.mark.parametrize("shard_terms", [1, 8])
+def test_a_pair_is_one_row_in_whatever_order_its_shards_come(spark, shard_terms):
+    spread = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7"}
+    before = {name: spark.conf.get(name) for name in spread}
+    rng = random.Random(2)
+    rows = [(n, " ".join(rng.choices([a + b for a in "abcdefgh" for b in "xyzuvw"], k=20)), "l", f"s{n % 9}") for n in range(200)]
+    try:
+        for name, value in spread.items():
+            spark.conf.set(name, value)
+        got = [tuple(r) for r in divergence.divergence(frame(spark, rows), least_docs=6, top=4, shard_terms=shard_terms).collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(got) == len(set(got)) and set(got) == divergent(rows, 6, 4)
+
+
 def test_divergence_edges(spark):
     assert divergence.divergence(frame(spark, [])).count() == 0
     few = divergence.divergence(frame(spark, [(1, "word", "a", "s"), (2, None, "a", None)])).collect()
