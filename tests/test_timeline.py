@@ -101,6 +101,18 @@ def test_recorded_days_have_fields_and_local_bounds(spark):
     assert (old.day_start_utc, old.day_end_utc) == (datetime(2024, 3, 10, 7), datetime(2024, 3, 11, 6))  # the clocks change on that day
 
 
+def test_cells_of_recorded_days_are_parsed_once_and_not_broadcast(spark, capsys):
+    day = "<table><tr><td>Day</td><td>0</td><td>1</td><td>-300</td><td>x</td></tr><tr><td>A</td><td>{}</td><td>2</td><td>3</td><td>4</td><td>5</td></tr></table>"
+    html = [day.format(7) + day.format(8), "<table><tr><td>A</td><td>1</td></tr></table>" + day.format(9), "<table><tr><td>no day</td></tr></table>", None]
+    pages = spark.createDataFrame([(n, h, date(2024, 3, 11)) for n, h in enumerate(html)], "page_id long, html string, retrieved_on date")
+    records = landing.day_records(landing.table_cells(pages), pages.select("page_id", "retrieved_on"))
+    assert sorted((r.page_id, r.controller_day, r.label, r.value) for r in records.collect()) == [(0, date(2024, 3, 11), "a", "7"), (1, date(2024, 3, 11), "a", "9")]
+    capsys.readouterr()
+    landing.day_fields(records, "UTC").explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and plan.count("MapInPandas") == 1 and plan.count("Exchange") == 2
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/Denver", "Asia/Kolkata"])
 def test_times_without_a_zone_are_utc_in_every_session(spark, zone):
     told = ["2024-01-05", "2024-01-05T10", "2024-01-05T10:30", "2024-01-05 10:30:05", "2024-01-05T10:30:00-07:00", "2024-01-05T10:30:00Z", "2024-01-05T10:30:00+0200", "2024-13-05", "noon"]
