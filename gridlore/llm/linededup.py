@@ -83,12 +83,22 @@ def line_hash(line: bytes) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def lines_of(text: str | None) -> list[str]:
-    return text.split("\n") if text else []
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    """line_hash of each line, two longs a row."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<i8").reshape(-1, 2)
 
 
-def has_word(line: str) -> bool:
-    return bool(line.strip(" \t\n\x0b\x0c\r"))
+def texts_in(part: pa.RecordBatch) -> list[bytes | None]:
+    """Texts as bytes: lines are cut, told from blank ones and hashed without decoding them."""
+    return part.column("text").cast(pa.large_binary()).to_pylist()
+
+
+def lines_of(text: bytes | None) -> list[bytes]:
+    return text.split(b"\n") if text else []
+
+
+def has_word(line: bytes) -> bool:
+    return bool(line) and not line.isspace()
 
 
 SEEN = np.ones(256, bool)
@@ -98,8 +108,8 @@ SEEN[[0x20, *range(0x09, 0x0E)]] = False
 class LineWords:
     """Hashes of the words of some lines, end to end."""
 
-    def __init__(self, lines: list[str]):
-        data, offsets = text_bytes(pa.array(lines, pa.large_string()))
+    def __init__(self, lines: list[bytes]):
+        data, offsets = text_bytes(pa.array(lines, pa.large_binary()))
         starts, ends, rows = word_spans(data, offsets, SEEN)
         self.words = span_hashes(data, starts, ends)
         self.length = np.bincount(rows, minlength=len(lines))
@@ -249,24 +259,22 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return CIRCLE[(a - b) & 3].sum(axis=-1)
 
 
-def new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+def new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Lines with a word that this task has not met of late, with their hashes; the lowest bit is free."""
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text"):
-            lines, hashes = [], []
-            for text in part.column("text").to_pylist():
-                for line in lines_of(text):
-                    if has_word(line):
-                        h = line_hash(line.encode("utf-8", "surrogatepass"))[0] & -2
-                        if h not in seen:
-                            seen.add(h)
-                            lines.append(line)
-                            hashes.append(h)
+            lines = [x for text in texts_in(part) if text for x in text.split(b"\n") if x and not x.isspace()]
+            hashes = line_hashes(lines)[:, 0] & -2
+            new = []
+            for n, h in enumerate(hashes.tolist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(n)
             if len(seen) > REMEMBERED_LINES:
                 seen.clear()
-            if lines:
-                yield lines, np.array(hashes, np.int64)
+            if new:
+                yield [lines[n] for n in new], hashes[new]
 
 
 def keys(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
@@ -378,7 +386,7 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = texts_of(docs, wanted)
 
     def run(part: pa.RecordBatch) -> dict:
-        words = LineWords(part.column("text").to_pylist())
+        words = LineWords(texts_in(part))
         short = (words.words >> np.uint64(32)).astype(np.uint32)
         own = [short[a : a + n].tobytes() for a, n in zip(words.start, words.length, strict=True)]
         return {"member": part.column("line"), "words": pa.array(own, pa.binary())}
@@ -555,7 +563,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for lines, line in new_lines(batches):
             on = in_bitmap(shared.value, line)
             yield pa.RecordBatch.from_pydict(
-                {"line": line[on], "text": pa.array([lines[i] for i in np.flatnonzero(on)], pa.string())}
+                {"line": line[on], "text": pa.array([lines[i] for i in np.flatnonzero(on)], pa.binary()).cast(pa.string())}
             )
 
     made = docs.select("text").mapInArrow(run, "line long, text string")
@@ -628,15 +636,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(doc, line_no, place, h1, h2) of every line with a word."""
 
     def run(part: pa.RecordBatch) -> dict:
-        doc, number, hashes = [], [], []
-        for d, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
-            for n, line in enumerate(lines_of(text)):
-                if has_word(line):
-                    hashes.append(line_hash(line.encode("utf-8", "surrogatepass")))
-                    doc.append(d)
-                    number.append(n)
-        both = np.array(hashes, np.int64).reshape(-1, 2)
-        docs, numbers = np.array(doc, np.int64), np.array(number, np.int64)
+        texts = [lines_of(text) for text in texts_in(part)]
+        lines = [x for own in texts for x in own]
+        count = np.array([len(own) for own in texts], np.int64)
+        on = np.array([bool(x) and not x.isspace() for x in lines], bool)
+        both = line_hashes([x for x, told in zip(lines, on.tolist(), strict=True) if told])
+        docs = np.repeat(np.asarray(part.column("doc")).astype(np.int64), count)[on]
+        numbers = (np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count))[on]
         return {"doc": docs, "line_no": numbers.astype(np.int32), "place": place_of(docs, numbers), "h1": both[:, 0], "h2": both[:, 1]}
 
     return arrow_map(docs.select("doc", "text"), run, f"doc long, line_no int, place {PLACE}, h1 long, h2 long", "text")
@@ -694,23 +700,26 @@ def dedup_lines(
 
     def run(part: pa.RecordBatch) -> dict:
         texts, counts = [], []
-        for text, drops in zip(part.column("text").to_pylist(), part.column("drops").to_pylist(), strict=True):
+        drops = part.column("drops")
+        ends = np.cumsum(np.diff(np.asarray(drops.offsets))).tolist()
+        flat = drops.flatten()
+        number, h1, is_near = (flat.field(n).to_pylist() for n in range(3))
+        start = 0
+        for text, end in zip(texts_in(part), ends, strict=True):
             lines = lines_of(text)
-            n_words = sum(map(has_word, lines))
-            gone = {
-                d["line_no"]: d["near"]
-                for d in drops
-                if d["line_no"] < len(lines)
-                and line_hash(lines[d["line_no"]].encode("utf-8", "surrogatepass"))[0] == d["h1"]
-            }
+            n_words = sum([bool(x) and not x.isspace() for x in lines])
+            own = [k for k in range(start, end) if number[k] < len(lines)]
+            hashes = line_hashes([lines[number[k]] for k in own])[:, 0].tolist()
+            gone = {number[k]: is_near[k] for k, h in zip(own, hashes, strict=True) if h == h1[k]}
+            start = end
             if gone:
-                text = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+                text = b"\n".join([x for n, x in enumerate(lines) if n not in gone])
             texts.append(text)
             counts.append((n_words, len(gone), sum(gone.values())))
         columns = np.array(counts, np.int64).reshape(-1, 3)
         return {
             "row": part.column("row"),
-            "text": pa.array(texts, pa.string()),
+            "text": pa.array(texts, pa.binary()).cast(pa.string()),
             "n_lines": columns[:, 0],
             "n_removed": columns[:, 1],
             "n_near": columns[:, 2],

@@ -531,3 +531,22 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
         ((True, 3), "only here", "c", 1, []),
         ((True, (1 << 63) - 1), "", "e", 2, []),
     ]
+
+
+def test_lines_keep_their_bytes_and_places(spark):
+    """Blank lines, carriage returns, NULs, beyond ASCII; texts in slices of a batch, null and empty ones between."""
+    odd = ["\x1c", " \t\x0b\x0c\r", " ", " x\x85y", "é\x00", "z\r"]
+    texts = ["\n".join([*odd, "same", "", "same"]), None, "", "\n", "same\n" + odd[3], " \n\nown\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.text, r.line_dedup.n_lines, r.line_dedup.n_removed) for r in linededup.dedup_lines(rows).collect()}
+    assert got == {
+        0: ("\n".join([*odd, "same", ""]), 7, 1),
+        1: (None, 0, 0),
+        2: ("", 0, 0),
+        3: ("\n", 0, 0),
+        4: ("", 2, 2),
+        5: ("\nown\n", 2, 1),
+    }
+    lines = ["a b".encode(), "é\x00".encode()]
+    assert [tuple(x) for x in linededup.line_hashes(lines).tolist()] == [linededup.line_hash(x) for x in lines]
+    assert linededup.line_hashes([]).shape == (0, 2)
