@@ -304,7 +304,11 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
     dealt = keyed.repartition("key").sortWithinPartitions("key")  # one long: Spark sorts it by radix
 
     def pairs(key: np.ndarray, member: np.ndarray, profile: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((member, key))
+        same = np.diff(key) == 0
+        met = np.flatnonzero(np.append(same, False) | np.append(False, same))  # most keys have one line, which meets none
+        if not len(met):
+            return
+        order = met[np.lexsort((member[met], key[met]))]
         key, member, profile = key[order], member[order], profile[order]
         new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(member) != 0)])
         key, member, profile = key[new], member[new], profile[new]
