@@ -7,10 +7,13 @@ four at most.  Of each class (what such links connect) the occurrence with the s
 (doc_id, line number) stays; the other lines go.
 
 The edit join never compares all lines.  A line that may have t edits is cut into t + 1
-segments of words; if at most t edits turn one line into another, some segment of the shorter
-occurs in the longer near the same place.  Segments are indexed under (length, number, hash);
-a line probes the indexes of its own length and of lengths up to t less with the substrings
-that the multi-match bounds allow.  What shares a key is first compared by counts of words in
+segments of words; if at most t edits turn one line into another, some segment n of the shorter
+occurs in the longer, behind n edits at most and before t - n at most.  So the first half of the
+segments is told from the start of a line and the second half from its end, where the place of
+segment n moves by min(n, t - n) at most.  Both lines give the same few pieces of each segment
+(``offsets``), one pair of which stands at any such distance.  Segments are laid out by the upper
+bits of a length (``rounded``), so a line has the layouts of its own length and of lengths up to
+t less, which is mostly one.  What shares a key is first compared by counts of words in
 16 classes, modulo 4: an edit moves them by 2 at most, so this drops no line that is near.  The
 rest is verified by banded bit-parallel edit distance.
 
@@ -18,7 +21,7 @@ A key of up to PAIRED_ROWS lines yields its pairs.  Lines of a key of up to GROU
 group: PIVOTS of them are paired with all of it, what these links connect is labelled, and then
 only lines that are not yet connected are compared, in a band of the edit matrix, until nothing
 is left to connect: the same classes, without all pairs.  A key with more lines is refined: the
-matched segment is taken out and the remainders are joined in the same way under that key, up to LEVELS times, so
+matched piece is taken out and the remainders are joined in the same way under that key, up to LEVELS times, so
 a common segment costs another scan and not the pairs of all lines that have it.  What is as
 crowded after that shares most of its text; it is dealt out as pairs of blocks of lines, each
 pair of blocks a group of its own, so no task holds more than two blocks.
@@ -67,15 +70,15 @@ PAIR, GROUP, CROWD = range(3)
 REMEMBERED_LINES = 100_000
 
 
-def segment(length: int | np.ndarray, n: int, edits: int):
-    """Start and end of the n-th of edits + 1 even segments."""
-    return n * length // (edits + 1), (n + 1) * length // (edits + 1)
+def rounded(length: np.ndarray) -> np.ndarray:
+    """Lengths with all bits but the upper three cleared."""
+    low = np.maximum(np.frexp(np.asarray(length, float))[1] - 3, 0)
+    return length >> low << low
 
 
-def shifts(gap: int, n: int, edits: int) -> range:
-    """Places, from the segment's own, at which a line that is gap longer has to be probed."""
-    low = max(-n, gap - (edits - n))
-    return range(low, min(n, gap + (edits - n)) + 1)
+def offsets(reach: int) -> list[int]:
+    """Places of which some two differ by d, for each d up to ``reach``."""
+    return [0, 1, 3] if reach == 3 else list(range(reach + 1))
 
 
 def line_hash(line: bytes) -> tuple[int, int]:
@@ -152,69 +155,63 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * POWERS.down[start]
 
 
-def key_of(prefix, length, n: int, piece: np.ndarray) -> np.ndarray:
-    return mix(mix(piece + np.uint64(n)) + np.asarray(length).astype(np.uint64) * BASE + np.asarray(prefix).astype(np.uint64))
+def key_of(prefix: np.ndarray, layout: np.ndarray, t: int, n: int, piece: np.ndarray) -> np.ndarray:
+    return mix(mix(piece + np.uint64(n)) + (layout * 64 + t).astype(np.uint64) * BASE + prefix)
 
 
 class Views:
     """What is left of lines on their way through hot keys; at first, whole lines.
 
-    A view that was indexed under a key meets views of its own length there, one that probed
-    with a line ``gap`` longer meets views that are shorter by that.  ``edits`` are those of the
-    whole line.
+    A view behind a key meets others behind it, of which it may differ by ``edits``, those
+    of the key; how many edits a whole line may have is told by its length.
     """
 
-    WHOLE, INDEXED, PROBED = range(3)
-
-    def __init__(self, words, length, line, prefix=None, side=None, edits=None, gap=None):
-        blank = np.zeros(len(length), np.int64)
+    def __init__(self, words, length, line, prefix=None, edits=None):
         self.words, self.length, self.line = words, length, line
         self.start = np.cumsum(length) - length
-        self.prefix = blank.astype(np.uint64) if prefix is None else prefix
-        self.side, self.edits, self.gap = (blank if x is None else x for x in (side, edits, gap))
+        self.prefix = np.zeros(len(length), np.uint64) if prefix is None else prefix
+        self.edits = edits
         self.rolling = Rolling(words)
 
-    def keys(self, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray, int, int]]:
-        """(views, keys, probing, start, end, edits, gap) of all segments and probes.
-
-        A whole line probes nothing of its own length in its own place: both sides are indexed there.
-        """
-        whole = self.side == self.WHOLE
-        for t in range(1, limits.most + 1):
-            own = np.flatnonzero(np.where(whole, limits.of(self.length) == t, (self.side == self.INDEXED) & (self.edits == t)))
-            for n in range(t + 1):
-                yield from self.made(own, 0, t, n, 0, False)
-            for gap in range(t + 1):
-                fits = (self.length >= gap) & np.where(whole, limits.of(self.length - gap) == t, (self.edits == t) & (self.gap == gap))
-                longer = np.flatnonzero(fits)
-                for n in range(t + 1):
-                    for shift in shifts(gap, n, t):
-                        in_place = gap == shift == 0
-                        yield from self.made(longer[self.side[longer] == self.PROBED] if in_place else longer, gap, t, n, shift, True)
-
-    def made(self, on: np.ndarray, gap: int, t: int, n: int, shift: int, probing: bool):
-        short = self.length[on] - gap
-        a, b = segment(short, n, t)
-        inside = (a + shift >= 0) & (b + shift <= self.length[on])
-        on, short, a, b = on[inside], short[inside], a[inside] + shift, b[inside] + shift
-        if len(on):
-            piece = self.rolling.span(self.start[on] + a, self.start[on] + b)
-            yield on, key_of(self.prefix[on], short, n, piece), probing, a, b, t, gap
+    def keys(self, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(views, keys, start, end, edits) of all pieces; each may be the shorter of two near lines or be up to its edits longer."""
+        before = None
+        for gap in range(limits.most + 1):
+            short = np.maximum(self.length - gap, 0)
+            edits, layout = limits.of(short) if self.edits is None else self.edits, rounded(short)
+            new = (self.length >= gap) & (edits >= max(gap, 1))
+            if before is not None:
+                new &= (edits != before[0]) | (layout != before[1])
+            before = edits, layout
+            for t in range(max(gap, 1), limits.most + 1):
+                on = np.flatnonzero(new & (edits == t))
+                if len(on):
+                    yield from self.made(on, layout[on], t)
+
+    def made(self, on: np.ndarray, layout: np.ndarray, t: int):
+        wide = layout // (t + 1)
+        for n in range(t + 1):
+            reach = min(n, t - n)
+            first = n * wide if n <= t - n else self.length[on] - (t + 1 - n) * wide
+            for offset in offsets(reach):
+                a = first + np.minimum(offset, wide)
+                b = a + np.maximum(wide - reach, 0)
+                piece = self.rolling.span(self.start[on] + a, self.start[on] + b)
+                yield on, key_of(self.prefix[on], layout, t, n, piece), a, b, t
 
     def behind(self, hot: np.ndarray, limits: Limits) -> Views:
-        """Views without the segment of each key in the bitmap."""
+        """Views without the piece of each key in the bitmap."""
         parts = []
-        for on, key, probing, a, b, t, gap in self.keys(limits):
+        for on, key, a, b, t in self.keys(limits):
             hit = np.flatnonzero(in_bitmap(hot, key))
-            side = np.full(len(hit), self.PROBED if probing else self.INDEXED)
-            parts.append((on[hit], key[hit], side, a[hit], b[hit], np.full(len(hit), t), np.full(len(hit), gap)))
+            parts.append((on[hit], key[hit], a[hit], b[hit], np.full(len(hit), t)))
         if not parts:
             return Views(self.words[:0], self.length[:0], self.line[:0])
-        on, key, side, a, b, t, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
+        on, key, a, b, t = (np.concatenate(x) for x in zip(*parts, strict=True))
         length = self.length[on] - (b - a)
         place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         source = place + np.repeat(self.start[on], length) + np.where(place >= np.repeat(a, length), np.repeat(b - a, length), 0)
-        return Views(self.words[source], length, self.line[on], key, side, t, gap)
+        return Views(self.words[source], length, self.line[on], key, t)
 
 
 #: Words of lines that are refined, or compared within a group, together.
@@ -278,7 +275,7 @@ def new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
 
 
 def keys(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
-    """(key, member, profile): member is the line's hash with the lowest bit telling the probing side."""
+    """(key, member, profile): member is the line's hash."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +283,13 @@ def keys(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFrame:
             words = LineWords(lines)
             profile = profiles(words)
             for views in refined(words, limits, shared.value):
-                made = [(views.line[on], key, probing) for on, key, probing, *_ in views.keys(limits)]
+                made = [(views.line[on], key) for on, key, *_ in views.keys(limits)]
                 if made:
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "key": np.concatenate([k for _, k, _ in made]).view(np.int64),
-                            "member": np.concatenate([member[on] | p for on, _, p in made]),
-                            "profile": np.concatenate([profile[on] for on, _, _ in made]),
+                            "key": np.concatenate([k for _, k in made]).view(np.int64),
+                            "member": np.concatenate([member[on] for on, _ in made]),
+                            "profile": np.concatenate([profile[on] for on, _ in made]),
                         }
                     )
 
@@ -324,22 +321,21 @@ def candidates(keyed: DataFrame, paired: int, most: int, edits: int) -> DataFram
             if len(run) > paired:
                 x, y = np.repeat(np.arange(PIVOTS), len(run)), np.tile(np.arange(len(run)), PIVOTS)
                 on = apart(lane[x], lane[y]) <= 2 * edits
-                pivots.append(np.stack([run[x[on]] & -2, run[y[on]] & -2]))
+                pivots.append(np.stack([run[x[on]], run[y[on]]]))
                 continue
             x, y = np.triu_indices(len(run), 1)
             left.append(run[x])
             right.append(run[y])
             near.append(apart(lane[x], lane[y]) <= 2 * edits)
         a, b, close = (np.concatenate(x) for x in (left, right, near))
-        meet = close & (a & b & 1 == 0) & (a >> 1 != b >> 1)  # of two that probe neither is indexed
-        a, b = (np.concatenate(x) for x in zip((a[meet] & -2, b[meet] & -2), *pivots, strict=True))
+        a, b = (np.concatenate(x) for x in zip((a[close], b[close]), *pivots, strict=True))
         a, b = a[a != b], b[a != b]
         kinds = np.full(len(a), PAIR, np.int32)
         yield pa.RecordBatch.from_pydict({"kind": kinds, "a": np.minimum(a, b), "b": np.maximum(a, b)})
         grouped = np.repeat((sizes > paired) & (sizes <= most), sizes)
         if grouped.any():
             kinds = np.full(np.count_nonzero(grouped), GROUP, np.int32)
-            yield pa.RecordBatch.from_pydict({"kind": kinds, "a": key[grouped], "b": member[grouped] & -2})
+            yield pa.RecordBatch.from_pydict({"kind": kinds, "a": key[grouped], "b": member[grouped]})
         yield crowded(key[cuts[:-1][sizes > most]])
 
     def crowded(key: np.ndarray) -> pa.RecordBatch:
@@ -385,9 +381,8 @@ def crowd_rows(docs: DataFrame, limits: Limits, hot: list[np.ndarray]) -> DataFr
     return docs.select("text").mapInArrow(run, "key long, member long").distinct()
 
 
-def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(member, words) of the lines in ``wanted``, words as 32-bit hashes; what they link is verified by the texts."""
-    texts = texts_of(docs, wanted)
+def words_of(texts: DataFrame) -> DataFrame:
+    """(member, words) of the lines in ``texts``, words as 32-bit hashes; what they link is verified by the texts."""
 
     def run(part: pa.RecordBatch) -> dict:
         words = LineWords(texts_in(part))
@@ -398,7 +393,7 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(texts, run, "member long, words binary", "text")
 
 
-def cross_pairs(docs: DataFrame, rows: DataFrame, roots: DataFrame, limits: Limits, most: int) -> DataFrame:
+def cross_pairs(texts: DataFrame, rows: DataFrame, roots: DataFrame, limits: Limits, most: int) -> DataFrame:
     """(a, b): pairs that connect what all links within the keys connect, beside those known by their roots."""
     labels = roots.select(F.col("node").alias("member"), "root")
     rooted = materialise(rows.join(labels, "member", "left").select("key", "member", F.coalesce("root", "member").alias("root")))
@@ -407,7 +402,7 @@ def cross_pairs(docs: DataFrame, rows: DataFrame, roots: DataFrame, limits: Limi
     )
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     mixed = materialise(rooted.join(sizes.where("low <> high").drop("low", "high"), "key"))
-    words = words_of(docs, mixed.select(F.col("member").alias("line")).distinct())
+    words = words_of(texts.join(mixed.select(F.col("member").alias("line")).distinct(), "line", "left_semi"))
     dealt = (
         mixed.join(words, "member")
         .withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
@@ -567,21 +562,20 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for lines, line in new_lines(batches):
             on = in_bitmap(shared.value, line)
             yield pa.RecordBatch.from_pydict(
-                {"line": line[on], "text": pa.array([lines[i] for i in np.flatnonzero(on)], pa.binary()).cast(pa.string())}
+                {"line": line[on], "text": pa.array([lines[i] for i in np.flatnonzero(on)], pa.binary())}
             )
 
-    made = docs.select("text").mapInArrow(run, "line long, text string")
+    made = docs.select("text").mapInArrow(run, "line long, text binary")
     return made.groupBy("line").agg(F.min("text").alias("text"))
 
 
-def near(a: str, b: str, limits: Limits) -> bool:
-    x, y = (t.encode("utf-8", "surrogatepass").split() for t in (a, b))
+def near(a: str | bytes, b: str | bytes, limits: Limits) -> bool:
+    x, y = ((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t).split() for t in (a, b))
     return within(x, y, int(limits.of(min(len(x), len(y)))))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, limits: Limits) -> DataFrame:
-    """(a, b) of the pairs within the edits of the shorter line."""
-    texts = texts_of(docs, pairs.select(F.col("a").alias("line")).union(pairs.select("b")))
+def verified(texts: DataFrame, pairs: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b) of the pairs within the edits of the shorter line; (line, text) has both."""
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
 
@@ -615,11 +609,13 @@ def near_links(docs: DataFrame, limits: Limits = LIMITS, paired: int = PAIRED_RO
         hot.append(bitmap_of(crowds, "a"))
         if last:
             rows = rows.union(crowd_rows(docs, limits, hot))
-    links = materialise(verified(docs, pairs, limits))
+    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(rows.select("member"))
+    texts = materialise(texts_of(docs, wanted))  # one more pass over the documents, whatever the lines are for
+    links = materialise(verified(texts, pairs, limits))
     if rows.isEmpty():
         return links
-    crossing = materialise(cross_pairs(docs, rows, connected_components(links), limits, most).distinct())
-    return materialise(links.union(verified(docs, crossing, limits)).distinct())
+    crossing = materialise(cross_pairs(texts, rows, connected_components(links), limits, most).distinct())
+    return materialise(links.union(verified(texts, crossing, limits)).distinct())
 
 
 # classes and removal

@@ -179,6 +179,26 @@ def test_edit_join_loses_no_link(spark, paired, most, levels):
         assert got <= told and classes_of(got) == classes_of(told)
 
 
+def test_near_lines_share_one_of_few_keys():
+    rng = np.random.default_rng(6)
+    limits = linededup.LIMITS
+    behind_all = np.full(1 << 18, ~np.uint64(0))
+    for size in [8, 9, 10, 39, 40, 41, 59, 60, 63, 64, 79, 80, 83, 95, 96, 100, 130] * 6:
+        line = rng.integers(0, 1 << 62, size).tolist()
+        other = list(line)
+        for _ in range(int(limits.of(size))):
+            at, new = int(rng.choice([0, len(other) - 1, rng.integers(len(other))])), int(rng.integers(1 << 62))
+            other[at : at + 1] = [[], [new], [new, other[at]], [other[at], new]][rng.integers(4)]
+        if not linededup.within(line, other, int(limits.of(min(size, len(other))))):
+            continue  # a word less and the line may have fewer edits
+        whole = linededup.Views(np.array(line + other, np.uint64), np.array([size, len(other)]), np.arange(2))
+        for level, views in enumerate((whole, whole.behind(behind_all, limits))):
+            made = [(int(n), int(k)) for on, key, *_ in views.keys(limits) for n, k in zip(views.line[on], key, strict=True)]
+            assert {k for n, k in made if n == 0} & {k for n, k in made if n == 1}
+            if level == 0:
+                assert len(made) <= 2 * (9 + 9)  # 49 a line of four edits when keys had the exact length
+
+
 def test_near_lines_grow_with_the_length():
     words = [f"w{n}" for n in range(100)]
     change = lambda n, size: " ".join(["x"] * n + words[n:size])
